@@ -14,6 +14,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.language import predict, remainder, train
+
+    rest = remainder(F.col("doc_id"), 5)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.filter(rest != 0))
+    return predict(docs.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "text"), model).drop("text")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.packing import pack_blocks
 
@@ -39,4 +48,14 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_packing, op5_licenses, op7_transport, op8_shards)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.language import remainder
+    from siltstone.llm.toxicity import score, train
+
+    rest = remainder(F.col("doc_id"), 4)
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = train(docs.filter(rest != 2), labels.filter(rest != 2))
+    return score(docs.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "text"), model).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_language, op4_packing, op5_licenses, op7_transport, op8_shards, op9_toxicity)}
