@@ -2,4 +2,27 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+OP6_NEARDUP = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g
+  FROM d
+), n AS (SELECT doc_id, len(g) AS n_shingles FROM s),
+e AS (SELECT doc_id, unnest(g) AS g FROM s),
+pair AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM pair JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * c >= 85 * (na.n_shingles + nb.n_shingles - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+)
+SELECT n.doc_id, CAST(n.n_shingles AS BIGINT) AS n_shingles, min(reach.b) AS component_id, n.doc_id = min(reach.b) AS kept
+FROM n JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n_shingles
+"""
+
+ORACLES: dict[str, str] = {"op6_neardup": OP6_NEARDUP}

@@ -35,6 +35,12 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("_text_hash")
+
+
 def op7_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.transport import store_digests
 
@@ -58,4 +64,4 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "text"), model).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_language, op4_packing, op5_licenses, op7_transport, op8_shards, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_language, op4_packing, op5_licenses, op6_neardup, op7_transport, op8_shards, op9_toxicity)}
