@@ -64,4 +64,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "text"), model).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_language, op4_packing, op5_licenses, op6_neardup, op7_transport, op8_shards, op9_toxicity)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.fingerprints import edited_pairs
+
+    return edited_pairs(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_language, op4_packing, op5_licenses, op6_neardup, op7_transport, op8_shards, op9_toxicity, op10_fingerprints)}
