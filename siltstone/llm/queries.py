@@ -14,6 +14,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.tokens import pack_tokens
+
+    return pack_tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.language import predict, remainder, train
 
@@ -70,4 +76,4 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_language, op4_packing, op5_licenses, op6_neardup, op7_transport, op8_shards, op9_toxicity, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_tokens, op3_language, op4_packing, op5_licenses, op6_neardup, op7_transport, op8_shards, op9_toxicity, op10_fingerprints)}
