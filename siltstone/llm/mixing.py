@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise, word_count
+from siltstone.llm.common import materialise, row_key, take_copies, word_count
 
 BLOCK_ROWS = 4000
 EPS = 1e-9
@@ -162,3 +162,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size:
     copies = (F.col("_whole") + F.round("_p").cast("long")).alias("copies")
     names = [F.col(f"_x{i}") for i in range(len(extra))]
     return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", copies, *names).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it."""
+    decided = mix(df, id_col, source_col, extra=row_key(df), **options)
+    return take_copies(df, decided.select(F.col("_x0").alias("_k1"), F.col("_x1").alias("_k2"), "copies"))

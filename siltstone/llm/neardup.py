@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise, slices, split_words
+from siltstone.llm.common import materialise, row_key, slices, split_words, take_copies
 from siltstone.operators.components import components
 
 COORDINATES = 64
@@ -83,9 +83,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def described(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(_id, _text_hash, n_shingles, key, signature) of every row; key is null for an empty set."""
+    """(_id, _text_hash, row key, n_shingles, key, signature) of every row; key is null for an empty set."""
     text = F.col(f"`{text_col}`").cast("string")
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(text).alias("_text_hash"), text.alias("_text"))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(text).alias("_text_hash"), text.alias("_text"), *row_key(df))
 
     def run(batches):
         for batch in batches:
@@ -95,10 +95,10 @@ def described(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
             at = np.cumsum([len(s) > 0 for s in sets]) - 1
             place = pa.array(at, mask=np.array([not len(s) for s in sets], bool))
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            columns = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), found.take(place)]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_text_hash", "n_shingles", "key", "signature"])
+            columns = [batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), found.take(place)]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_text_hash", "_k1", "_k2", "n_shingles", "key", "signature"])
 
-    return rows.mapInArrow(run, "_id long, _text_hash long, n_shingles long, key binary, signature array<int>")
+    return rows.mapInArrow(run, "_id long, _text_hash long, _k1 long, _k2 long, n_shingles long, key binary, signature array<int>")
 
 
 def confirmed(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -201,7 +201,7 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(id, _text_hash, n_shingles, component_id, kept) of every row."""
+    """(id, n_shingles, component_id, kept) of every row, with its class and row key."""
     rows = materialise(described(df, id_col, text_col, width), "described")
     least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text_hash")).alias("m")
     classes = rows.filter("key is not null").groupBy("key").agg(least, F.min("signature").alias("signature"))
@@ -209,8 +209,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     member = components(links(classes, docs, width, percent)).join(classes.select("node", "key", "_id"), "node")
     member = materialise(member.select("root", "key", "_id"), "member")
-    linked = member.join(member.groupBy("root").agg(F.min("_id").alias("least")), "root").select("key", "least")
-    of_key = classes.select("key", "_id").join(linked, "key", "left").select("key", F.coalesce("least", "_id").alias("component_id"))
+    linked = member.join(member.groupBy("root").agg(F.min("_id").alias("least")), "root").select("key", "least", "root")
+    of_key = classes.select("key", "_id", "node").join(linked, "key", "left")
+    of_key = of_key.select("key", F.coalesce("least", "_id").alias("component_id"), F.coalesce("root", "node").alias("_class"))
     out = rows.join(of_key, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("_id").alias(id_col), "_text_hash", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept"))
+    return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept"), "_class", "_k1", "_k2")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` that stay: one of each component, the one with the smallest id; rows without words all stay."""
+    found = near_duplicates(df, id_col, text_col, width, percent).filter("kept")
+    grouped = found.filter("_class is not null").groupBy("_class").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("k.*", F.lit(1).alias("copies"))
+    wordless = found.filter("_class is null").select("_k1", "_k2", F.lit(1).alias("copies"))
+    return take_copies(df, grouped.unionByName(wordless))

@@ -44,7 +44,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.neardup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("_text_hash")
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
