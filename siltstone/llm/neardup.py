@@ -36,6 +36,8 @@ from siltstone.operators.components import components
 COORDINATES = 64
 SMALL = 48
 BLOCK = 1500
+#: Texts that are taken apart at a time: their arrays need about ten times that.
+SLICE_BYTES = 6 << 20
 _RANDOM = np.random.default_rng(6)
 FACTORS = _RANDOM.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WORD_FACTORS = _RANDOM.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,14 +91,16 @@ def described(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
 
     def run(batches):
         for batch in batches:
-            sets = list(shingle_sets(batch.column(2), width))
-            full = [s for s in sets if len(s)]
-            found = pa.FixedSizeListArray.from_arrays(pa.array(signatures(full).reshape(-1)), COORDINATES).cast(pa.list_(pa.int32()))
-            at = np.cumsum([len(s) > 0 for s in sets]) - 1
-            place = pa.array(at, mask=np.array([not len(s) for s in sets], bool))
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            columns = [batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), found.take(place)]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_text_hash", "_k1", "_k2", "n_shingles", "key", "signature"])
+            for a, b in slices(batch.column(2), SLICE_BYTES):
+                part = batch.slice(a, b)
+                sets = list(shingle_sets(part.column(2), width))
+                full = [s for s in sets if len(s)]
+                found = pa.FixedSizeListArray.from_arrays(pa.array(signatures(full).reshape(-1)), COORDINATES).cast(pa.list_(pa.int32()))
+                at = np.cumsum([len(s) > 0 for s in sets]) - 1
+                place = pa.array(at, mask=np.array([not len(s) for s in sets], bool))
+                keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                columns = [part.column(0), part.column(1), part.column(3), part.column(4), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), found.take(place)]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_text_hash", "_k1", "_k2", "n_shingles", "key", "signature"])
 
     return rows.mapInArrow(run, "_id long, _text_hash long, _k1 long, _k2 long, n_shingles long, key binary, signature array<int>")
 
@@ -212,7 +216,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = member.join(member.groupBy("root").agg(F.min("_id").alias("least")), "root").select("key", "least", "root")
     of_key = classes.select("key", "_id", "node").join(linked, "key", "left")
     of_key = of_key.select("key", F.coalesce("least", "_id").alias("component_id"), F.coalesce("root", "node").alias("_class"))
-    out = rows.join(of_key, "key", "left")
+    out = rows.join(materialise(of_key, "of_key"), "key", "left")  # a plain join, which can be split where a key is hot
     component = F.when(F.col("key").isNull(), F.col("_id")).otherwise(F.col("component_id"))
     return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept"), "_class", "_k1", "_k2")
 
