@@ -47,7 +47,7 @@ def add_columns(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names], *[v.alias(k) for k, v in columns.items()])
 
 
-def slices(texts: pa.Array, most: int = 16 << 20):
+def slices(texts: pa.Array, most: int = 8 << 20):
     """(first row, rows) pieces of at most ``most`` bytes, or one row: bounds what is expanded at a time."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     start, held = 0, 0

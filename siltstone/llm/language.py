@@ -22,13 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import batches_with, materialise, segment_sums, slices, split_words
 
 ORDER = 5
-MAX_GRAMS = 1_500_000
+MAX_GRAMS = 1_000_000
 START, END = 1, 2
 #: Deviations of the mean of n characters, and of a single one, that a text may lie above its language.
 REJECT_MEAN, REJECT_ONE = 6.0, 0.5
@@ -243,12 +244,15 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order:
                 break
             least, total = n, total + c
         grams = grams.filter(F.col("n") >= (least or 1)).limit(max_grams)
-    found = grams.toPandas()
-    if not len(found):
+    found = grams.toArrow()
+    if not found.num_rows:
         return None
-    by_lang = {lang: own for lang, own in found.groupby("lang")}
-    as_rows = {lang: np.frombuffer(b"".join(own["gram"]), np.uint32).reshape(len(own), order) for lang, own in by_lang.items()}
-    return Model(list(by_lang), as_rows, {lang: own["n"].to_numpy() for lang, own in by_lang.items()}, order)
+    as_rows, counts = {}, {}
+    for lang in found["lang"].unique().to_pylist():
+        own = found.filter(pa.compute.equal(found["lang"], lang))
+        as_rows[lang] = np.frombuffer(b"".join(own["gram"].to_pylist()), np.uint32).reshape(own.num_rows, order)
+        counts[lang] = own["n"].to_numpy()
+    return Model(list(as_rows), as_rows, counts, order)
 
 
 def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
