@@ -35,16 +35,11 @@ def take_copies(df: DataFrame, decisions: DataFrame) -> DataFrame:
     decision, or with 0 copies, go. The join and the numbering need one exchange of ``df``.
     """
     k1, k2 = row_key(df)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), k1, k2)
     copies = decisions.groupBy("_k1", "_k2").agg(F.sum("copies").cast("int").alias("_n")).filter("_n > 0")
     first = Window.partitionBy("_k1", "_k2").orderBy("_k1")
-    joined = df.select("*", k1, k2).join(copies, ["_k1", "_k2"]).withColumn("_r", F.row_number().over(first)).filter("_r = 1")
-    return joined.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in df.columns])
-
-
-def add_columns(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add result columns; an input column of the same name, in any case, is replaced."""
-    names = {c.lower() for c in columns}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names], *[v.alias(k) for k, v in columns.items()])
+    joined = rows.join(copies, ["_k1", "_k2"]).withColumn("_r", F.row_number().over(first)).filter("_r = 1")
+    return joined.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
 
 
 def slices(texts: pa.Array, most: int = 8 << 20):

@@ -269,7 +269,7 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataF
             own = batch.select(list(range(place)))
             yield batches_with(own, dict(zip(RESULT, out, strict=True)))
 
-    return df.withColumn("_the_text", F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
+    return df.select("*", F.col(f"`{text_col}`").cast("string").alias("_the_text")).mapInArrow(run, schema)
 
 
 def remainder(id_col: Column, divisor: int) -> Column:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of public licences and notices, as they read after normalisation.
+# Sentences of public licences and notices, as they read once cut and normalised.
 SENTENCES = (
     "released under the mit license",
     "licensed under the mit license",
@@ -31,16 +31,16 @@ SENTENCES = (
     "see the license for the specific language governing permissions and limitations under the license",
     "this work is licensed under the gnu general public license version 3",
     "this work is licensed under the gnu general public license version 2",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "without even the implied warranty of merchantability or fitness for a particular purpose",
     "see the gnu general public license for more details",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "this source code form is subject to the terms of the mozilla public license v. 2.0",
+    "this source code form is subject to the terms of the mozilla public license v",
     "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0",
     "this is free and unencumbered software released into the public domain",
     "licensed under cc by-nc 4.0",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from siltstone.llm.licenses import ANCHORS, IMPLIES, RULES, SENTENCES
+
 OP6_NEARDUP = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
@@ -25,4 +27,33 @@ SELECT n.doc_id, CAST(n.n_shingles AS BIGINT) AS n_shingles, min(reach.b) AS com
 FROM n JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n_shingles
 """
 
-ORACLES: dict[str, str] = {"op6_neardup": OP6_NEARDUP}
+_KNOWN = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in SENTENCES) + "]"
+
+
+def _ids(lines: str) -> str:
+    held = rf"list_filter(string_split_regex({lines}, '[.!?;:]+(?:\s+|$)|\n+'), lambda x: regexp_matches(x, '(?i){ANCHORS}'))"
+    norm = rf"trim(regexp_replace(regexp_replace(lower(x), '[^a-z0-9.+-]+', ' ', 'g'), '[.+ -]+$', ''))"
+    found = f"list_filter(list_transform({held}, lambda x: list_position({_KNOWN}, {norm}) - 1), lambda i: i >= 0)"
+    return f"CASE WHEN len({found}) > 0 THEN '|' || array_to_string({found}, '|') || '|' ELSE '' END"
+
+
+def _licenses() -> str:
+    """Licence and its condition on ``l`` and ``p``, the identifiers with their bars doubled."""
+    hit: dict[str, list[str]] = {}
+    for name, rule in RULES:
+        pattern = "%" + "%".join(f"|{i}|" for i in rule) + "%"
+        hit.setdefault(name, []).append(f"(l LIKE '{pattern}' OR p LIKE '{pattern}')")
+    cond = {name: "(" + " OR ".join(c) + ")" for name, c in hit.items()}
+    for longer, shorter in IMPLIES.items():
+        cond[shorter] = f"({cond[shorter]} AND NOT {cond[longer]})"
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {cond[n]} THEN '{n}' END" for n in sorted(cond)) + "], lambda x: x IS NOT NULL), ',')"
+
+
+OP5_LICENSES = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '([^\n])\n([^\n])', '\1 \2', 'g') AS w FROM documents),
+i AS (SELECT doc_id, {_ids("t")} AS by_line, {_ids("w")} AS by_paragraph FROM t),
+d AS (SELECT *, replace(by_line, '|', '||') AS l, replace(by_paragraph, '|', '||') AS p FROM i)
+SELECT doc_id, by_line, by_paragraph, {_licenses()} AS licenses FROM d
+"""
+
+ORACLES: dict[str, str] = {"op5_licenses": OP5_LICENSES, "op6_neardup": OP6_NEARDUP}

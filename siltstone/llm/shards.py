@@ -96,12 +96,13 @@ def rebalance(old: SlotMap, n_shards: int, bytes_of: list[int] | None = None, ro
 
     for v in sorted((v for v, s in enumerate(shard_of) if s >= n_shards), key=lambda v: (-sizes[v], v)):
         put(v, min(range(n_shards), key=lambda s: (loads[s], s)))
+    largest = max(sizes, default=0)  # shards that differ by a slot are even
     for _ in range(len(sizes)):
         high = max(range(n_shards), key=lambda s: (loads[s], -s))
         low = min(range(n_shards), key=lambda s: (loads[s], s))
         gap = loads[high] - loads[low]
         movable = [v for v in held[high] if 0 < sizes[v] < gap]
-        if not movable:
+        if not movable or gap <= largest:
             break
         v = min(movable, key=lambda v: (abs(2 * sizes[v] - gap), v))
         if max(loads[high] - sizes[v], loads[low] + sizes[v]) >= loads[high]:

@@ -150,6 +150,15 @@ def pack_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     return df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(run, RESULT)
 
 
-def write_matrices(packed: DataFrame, path: str) -> None:
-    """Write the rows under ``path``: each file's input_ids, one after the other, are its id matrix."""
-    packed.write.parquet(path)
+def write_matrices(packed: DataFrame, path: str) -> DataFrame:
+    """Write the packed rows as a table under ``path``, in any store that Spark reaches, and read them back.
+
+    input_ids has one width in all rows, so the values of a file, one after the other, are its id matrix:
+    see ``matrix``."""
+    packed.write.option("compression", "zstd").parquet(path)
+    return packed.sparkSession.read.parquet(path)
+
+
+def matrix(rows: Sequence[bytes], length: int = LENGTH, wide: bool = False) -> np.ndarray:
+    """The id matrix of input_ids values."""
+    return np.frombuffer(b"".join(rows), "<u4" if wide else "<u2").reshape(-1, length)

@@ -142,4 +142,4 @@ def score(df: DataFrame, model: Model | None, text_col: str = "text", threshold:
             own = batch.select(list(range(place)))
             yield batches_with(own, {"score": pa.array(values), "predicted": pa.array((values >= threshold).astype(np.int32))})
 
-    return df.withColumn("_the_text", F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
+    return df.select("*", F.col(f"`{text_col}`").cast("string").alias("_the_text")).mapInArrow(run, schema)
