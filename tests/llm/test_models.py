@@ -150,19 +150,56 @@ def test_held_out_toxicity(spark):
 
 def test_unlabelled_toxic_texts_do_not_teach_that_they_are_clean(spark):
     docs, labels, truth = toxic_corpus(spark, 800)
-    few = labels.filter("toxic = 1").limit(40).union(labels.filter("toxic = 0"))
+    few = labels.filter("toxic = 1").limit(40).union(labels.filter("toxic = 0"))  # most toxic texts are not confirmed
     model = toxicity.train(docs, few, prior=0.15)
     got = toxicity.score(docs, model).toPandas()
     real = got.doc_id.map(truth)
-    assert got.predicted[real].mean() > 0.9 and got.predicted[~real].mean() < 0.05
+    assert got.predicted[real].mean() > 0.85 and got.predicted[~real].mean() < 0.05
 
 
 def test_the_risk_is_kept_from_going_negative():
     draw = np.random.default_rng(1)
-    positive = [np.array([5, 6, int(draw.integers(100, 200))]) for _ in range(30)]
-    unlabelled = [np.array([int(x) for x in draw.integers(100, 200, 3)]) for _ in range(200)]
+    positive = [np.unique(np.array([5, 6, *draw.integers(100, 2000, 9)], np.uint32)) for _ in range(30)]
+    unlabelled = [np.unique(draw.integers(100, 2000, 9).astype(np.uint32)) for _ in range(200)]
     model = toxicity.fit(positive, unlabelled, 0.1)
-    assert model.weights[5] > 0 and np.isfinite(model.bias) and model.scores(pa.array(["", None])).max() < 0.5
+    assert {5, 6} <= set(model.features.tolist()) and (model.weights[:2] > 0).all() and np.isfinite(model.bias) and model.scores(pa.array(["", None])).max() < 0.3
+
+
+def test_copies_teach_once():
+    draw = np.random.default_rng(2)
+    fresh = lambda n, *more: np.unique(np.array([*more, *draw.integers(1000, 90_000, n)], np.uint32))
+    copied = fresh(60, 7)
+    near = [np.unique(np.append(copied[1:], np.uint32(k))) for k in range(200, 240)]
+    positive = [fresh(60, 7) for _ in range(60)] + [copied] * 40 + near
+    assert len(toxicity.without_copies(positive)) < 75
+    model = toxicity.fit(positive, [fresh(60) for _ in range(400)], 0.1)
+    assert model.features.tolist() == [7]
+
+
+def test_beginnings_of_words_are_features(spark):
+    draw, rows, labels = random.Random(8), [], []
+    for i in range(800):
+        text, bad = sentence("aa", draw, 30).split(), draw.random() < 0.2
+        if bad:
+            text += [f"kwoff{chr(97 + draw.randrange(26))}{chr(97 + draw.randrange(26))}" for _ in range(3)]
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(bad)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs.filter("doc_id < 400"), marks.filter("doc_id < 400"))
+    got = toxicity.score(docs.filter("doc_id >= 400"), model).join(marks, "doc_id").toPandas()
+    assert (got.predicted == got.toxic).mean() > 0.99
+
+
+def test_fast_scores_against_plain_ones(spark):
+    texts = ["kwoffing the kwoffs", "", None, "nothing", "the kwoff kwoff kwoffing", "the " + "x " * 300 + "the", "the the x"]
+    base = toxicity.word_features(pa.array(["kwoffing", "the"]))
+    held = sorted({int(base[0, 2]): 1.5, int(base[1, 0]): 2.0, int(toxicity.dense(base)[1, 0]): -0.7, int(toxicity.dense(base)[0, 1]): 0.4}.items())
+    model = toxicity.Model(np.array([f for f, _ in held], np.uint32), np.array([w for _, w in held]), -1.0)
+    cols, starts = toxicity.row_features(pa.array(texts))
+    sets = [set(cols[a:b].tolist()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    want = [1 / (1 + math.exp(1.0 - sum(w for f, w in held if f in h))) for h in sets]
+    assert model.scores(pa.array(texts)) == pytest.approx(want)
+    assert int(toxicity.dense(base)[1, 0]) in sets[6] and int(toxicity.dense(base)[1, 0]) not in sets[5] and int(toxicity.dense(base)[1, 0]) not in sets[0]
 
 
 def test_toxicity_awkward(spark):
