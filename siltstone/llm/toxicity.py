@@ -176,12 +176,26 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, shift) of the logistic curve that turns margins into probabilities (Platt), by Newton's method."""
+    """(slope, shift) of the logistic curve that turns margins into probabilities (Platt): Newton steps,
+    halved until the loss falls."""
     high, low = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
     want, x, w = np.where(y > 0, high, low), np.stack([z, np.ones_like(z)], axis=1), np.array([1.0, 0.0])
-    for _ in range(50):
+
+    def loss(w: np.ndarray) -> float:
+        m = x @ w
+        return float((np.logaddexp(0, m) - want * m).sum() + 5e-4 * w @ w)
+
+    now = loss(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - want) + 1e-3 * (w - [1.0, 0.0]))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - want) + 1e-3 * w)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) >= now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w - size * step
+        now = loss(w)
     return (float(w[0]), float(w[1])) if w[0] > 0 and np.isfinite(w).all() else (1.0, 0.0)
 
 

@@ -165,6 +165,15 @@ def test_the_risk_is_kept_from_going_negative():
     assert {5, 6} <= set(model.features.tolist()) and (model.weights[:2] > 0).all() and np.isfinite(model.bias) and model.scores(pa.array(["", None])).max() < 0.3
 
 
+def test_calibration_is_stable():
+    z = np.array([-8.0] * 200 + [1.0, 2.0, 3.0] * 20)
+    slope, shift = toxicity.calibrated(z, (z > 0).astype(float))
+    assert 0 < slope < 20 and 1 / (1 + math.exp(-(slope * -8 + shift))) < 0.05 and 1 / (1 + math.exp(-(slope + shift))) > 0.6
+    noisy = np.array([0, 1] * 130, float)
+    slope, shift = toxicity.calibrated(z, noisy)
+    assert np.isfinite([slope, shift]).all()
+
+
 def test_copies_teach_once():
     draw = np.random.default_rng(2)
     fresh = lambda n, *more: np.unique(np.array([*more, *draw.integers(1000, 90_000, n)], np.uint32))

@@ -12,8 +12,8 @@ def tables(spark, path):
         text = sentence(lang, draw, draw.randrange(30, 90)).split()
         bad = i % 8 == 0
         if bad:
-            for _ in range(4):
-                text.insert(draw.randrange(len(text)), draw.choice(BAD))
+            for word in BAD:
+                text.insert(draw.randrange(len(text)), word)
         rows.append((i, " ".join(text), lang, f"s{i % 3}"))
         labels.append((i, 0, int(bad)))
     rows += [(400 + k, rows[k + 1][1], rows[k + 1][2], "s0") for k in range(6)]  # copies of 1 .. 6
