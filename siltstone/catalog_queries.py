@@ -11,6 +11,7 @@ from siltstone.operators import catalog as C
 from siltstone.operators import grouping as G
 from siltstone.operators import labels as L
 from siltstone.operators import names as N
+from siltstone.operators import ordering as O
 from siltstone.operators import sketch as K
 from siltstone.operators import view as W
 from siltstone.operators.ranking import numbered
@@ -278,6 +279,18 @@ def byte_sketches(spark, sf_dir):
     return K.bytes_sketch(rows, "item_id").select("item_id", "sha256", "bytes", "binary_method", F.size("chunks").alias("chunks"), F.size("binary").alias("binary"))
 
 
+@query
+def content_order(spark, sf_dir):
+    """The benchmark's items as files, by content, names and size."""
+    rows = read(spark, sf_dir, "benchmark").select("item_id", "text", F.col("text").cast("binary").alias("raw"))
+    path = F.concat(F.lit("items/"), F.concat_ws("_", F.slice(F.split("text", " "), 1, 2)), F.lit("_"), F.col("item_id").cast("string"), F.lit(".txt"))
+    texts = K.text_sketch(rows.select("item_id", path.alias("path"), "text")).withColumnRenamed("sample", "text_sample").drop("text")
+    found = texts.join(K.bytes_sketch(rows.select("item_id", F.col("raw").alias("content")), "item_id"), "item_id")
+    empty = F.array().cast("array<struct<slot:string,hash:string,tone:int,aspect:double>>")
+    content = F.struct("sha256", "text_sha256", "words", "bytes", "binary_method", "binary", "chunks", F.col("text_sample").alias("text"), empty.alias("visual"), F.lit(0).alias("visual_pages"), F.lit(False).alias("failed"))
+    return O.content_order(found.select("path", F.col("bytes").alias("size"), content.alias("content")))
+
+
 @query
 def metadata_lexical(spark, sf_dir):
     """Signed hashed features of page names: (page_id, dimension, value) of unit vectors."""
