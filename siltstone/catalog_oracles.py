@@ -117,7 +117,7 @@ ORACLES: dict[str, str] = {
           list_dot_product(x.e[1:32], y.e[1:32]) / sqrt(list_dot_product(x.e[1:32], x.e[1:32])) / sqrt(list_dot_product(y.e[1:32], y.e[1:32])) AS l,
           CASE WHEN x.label % 2 = 1 AND y.label % 2 = 1 THEN list_dot_product(x.e[49:64], y.e[49:64]) / sqrt(list_dot_product(x.e[49:64], x.e[49:64])) / sqrt(list_dot_product(y.e[49:64], y.e[49:64])) END AS g
           FROM v x JOIN v y ON y.vec_id = x.vec_id + 1)
-        SELECT a, b, round(CASE WHEN g IS NULL THEN 0.6 * s + 0.4 * l ELSE greatest(0.6 * s + 0.4 * l, 0.55 * (0.6 * s + 0.4 * l) + 0.45 * g) END, 4) AS score FROM p""",
+        SELECT a, b, round(CASE WHEN g IS NULL THEN 0.6 * s + 0.4 * l ELSE greatest(0.6 * s + 0.4 * l, 0.55 * (0.6 * s + 0.4 * l) + 0.45 * g) END, 4) + 0.0 AS score FROM p""",
     "weak_label_terms": f"WITH {PAGES}, {LABEL_TERMS} SELECT term, count(DISTINCT page_id) AS df FROM term WHERE term IS NOT NULL GROUP BY term",
     "rename_series_plan": f"""WITH {PARTS}, occ AS (SELECT number AS n FROM files WHERE p_size = 1),
         sel AS (SELECT path, row_number() OVER (ORDER BY number) AS r FROM files WHERE p_size > 1),

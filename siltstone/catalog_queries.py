@@ -299,7 +299,7 @@ def metadata_lexical(spark, sf_dir):
     place, sign = V.hashed_place(F.col("t.term"))
     sums = terms.groupBy("page_id", place.alias("dimension")).agg(F.sum(sign * F.col("t.weight")).alias("v")).filter(F.abs("v") > 1e-9)
     length = sums.groupBy("page_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
-    return sums.join(length, "page_id").select("page_id", "dimension", F.round(F.col("v") / F.col("n"), 4).alias("value"))
+    return sums.join(length, "page_id").select("page_id", "dimension", (F.round(F.col("v") / F.col("n"), 4) + 0.0).alias("value"))
 
 
 @query
@@ -319,7 +319,7 @@ def pair_score_blend(spark, sf_dir):
     d = lambda a, n: V.dot(part(F.col("x.embedding"), a, n), part(F.col("y.embedding"), a, n))
     layout = F.when((F.col("x.label") % 2 == 1) & (F.col("y.label") % 2 == 1), d(49, 16))
     score = V.pair_score(V.dot(F.col("x.embedding"), F.col("y.embedding")), d(1, 32), F.lit(True), layout)
-    return both.select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b"), F.round(score, 4).alias("score"))
+    return both.select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b"), (F.round(score, 4) + 0.0).alias("score"))  # no negative zero
 
 
 def _vectors(spark, sf_dir):

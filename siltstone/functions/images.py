@@ -30,7 +30,7 @@ def shrink(image: np.ndarray, rows: int, columns: int) -> np.ndarray:
 def perceptual_hash(pixels: np.ndarray) -> dict:
     """hash (512 bits as 128 hex digits: above the mean, and rising to the right), mean tone and aspect."""
     g = grey(pixels)
-    small, wide = shrink(g, AVERAGE, AVERAGE), shrink(g, AVERAGE, AVERAGE + 1)
+    small, wide = shrink(g, AVERAGE, AVERAGE).round(), shrink(g, AVERAGE, AVERAGE + 1).round()
     bits = np.concatenate([(small > small.mean()).ravel(), (wide[:, 1:] > wide[:, :-1]).ravel()])
     return {"hash": np.packbits(bits).tobytes().hex(), "tone": int(round(g.mean())), "aspect": g.shape[1] / g.shape[0]}
 
