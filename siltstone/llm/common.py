@@ -83,6 +83,14 @@ def segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+def text_place(df: DataFrame, text_col: str) -> int:
+    """Where the text column stands. Texts go to Python once, with the row they belong to."""
+    at = df.columns.index(text_col)
+    if df.schema[at].dataType.simpleString() != "string":
+        raise TypeError(f"{text_col} is not a string column")
+    return at
+
+
 def batches_with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     """The batch with result columns added; an input column of the same name, in any case, is replaced."""
     low = {c.lower() for c in columns}

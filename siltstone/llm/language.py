@@ -26,7 +26,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import batches_with, materialise, segment_sums, slices, split_words
+from siltstone.llm.common import batches_with, materialise, segment_sums, slices, split_words, text_place
 
 ORDER = 5
 MAX_GRAMS = 1_000_000
@@ -261,15 +261,13 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     lowered = {c.lower() for c in RESULT}
     kept = [f for f in df.schema.fields if f.name.lower() not in lowered]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{k} {v}" for k, v in RESULT.items()])
-    place = len(df.columns)
+    place = text_place(df, text_col)
 
     def run(batches):
         for batch in batches:
-            out = classify(shared.value, batch.column(place))
-            own = batch.select(list(range(place)))
-            yield batches_with(own, dict(zip(RESULT, out, strict=True)))
+            yield batches_with(batch, dict(zip(RESULT, classify(shared.value, batch.column(place)), strict=True)))
 
-    return df.select("*", F.col(f"`{text_col}`").cast("string").alias("_the_text")).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def remainder(id_col: Column, divisor: int) -> Column:

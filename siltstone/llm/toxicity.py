@@ -25,11 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import batches_with, segment_sums, slices, split_words
+from siltstone.llm.common import batches_with, segment_sums, slices, split_words, text_place
 
 #: Lengths of the beginnings that count as features beside whole words.
 PREFIXES = (4, 5, 6)
-MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 3000, 8000, 50_000
+MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 2000, 6000, 50_000
 MIN_DOCS, MIN_SIGMA = 5, 6.0
 #: The share of a text's words from which on a feature is dense.
 DENSE = 0.01
@@ -133,14 +133,17 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if len(known) >= 200 and 0 < sum(known) < len(known):
         prior = sum(known) / len(known)
     flat = [np.concatenate(x) if x else np.zeros(0, np.uint32) for x in sets]
-    names, index = np.unique(np.concatenate(flat), return_inverse=True)
-    places = index[: len(flat[0])], index[len(flat[0]) :]
+    names, total = np.unique(np.concatenate(flat), return_counts=True)
+    names = np.append(names[total >= MIN_DOCS], np.uint32(0))  # 0 stands for the rest
+    names.sort()
+    places = [np.searchsorted(names, f).astype(np.int32) for f in flat]
+    places = [np.where(names[np.minimum(p, len(names) - 1)] == f, p, 0) for p, f in zip(places, flat, strict=True)]
     n = [max(1, len(x)) for x in sets]
     seen = [np.bincount(p, minlength=len(names)) for p in places]
     share = (seen[0] + seen[1]) / (n[0] + n[1])
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
     sigma = np.abs(seen[0] / n[0] - seen[1] / n[1]) / spread
-    sigma[seen[0] + seen[1] < MIN_DOCS] = 0
+    sigma[0] = 0
     chosen = np.sort(np.argsort(-sigma, kind="stable")[: min(MAX_FEATURES, int((sigma >= MIN_SIGMA).sum()))])
     to = np.full(len(names), -1)
     to[chosen] = np.arange(len(chosen))
@@ -241,13 +244,12 @@ def score(df: DataFrame, model: Model | None, text_col: str = "text", threshold:
     shared = df.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in df.schema.fields if f.name.lower() not in ("score", "predicted")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["score double", "predicted int"])
-    place = len(df.columns)
+    place = text_place(df, text_col)
 
     def run(batches):
         for batch in batches:
             found = shared.value
             values = found.scores(batch.column(place)) if found else np.zeros(batch.num_rows)
-            own = batch.select(list(range(place)))
-            yield batches_with(own, {"score": pa.array(values), "predicted": pa.array((values >= threshold).astype(np.int32))})
+            yield batches_with(batch, {"score": pa.array(values), "predicted": pa.array((values >= threshold).astype(np.int32))})
 
-    return df.select("*", F.col(f"`{text_col}`").cast("string").alias("_the_text")).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
