@@ -14,6 +14,7 @@ SKETCH = r"""w AS (
   FROM w
 ), cls AS (SELECT class, min(id) AS id, any_value(words) AS words, any_value(sample) AS sample FROM sk WHERE words >= 10 GROUP BY class)"""
 DOC_SKETCH = SKETCH.format(id="doc_id", tokens=TOKENS.format("text"), table="documents")
+ITEM_SKETCH = SKETCH.format(id="item_id", tokens=TOKENS.format("text"), table="benchmark").replace("w AS (", "w2 AS (", 1).replace("sk AS (", "sk2 AS (").replace("FROM w\n", "FROM w2\n").replace("cls AS (", "cls2 AS (").replace("FROM sk WHERE", "FROM sk2 WHERE")
 CANDIDATES = r""", e AS (SELECT id, class, words, unnest(sample) AS h FROM cls),
 cand AS (
   SELECT x.id AS a, y.id AS b, count(*) AS shared FROM e x JOIN e y ON x.h = y.h AND x.id < y.id
@@ -110,6 +111,11 @@ ORACLES: dict[str, str] = {
     "near_dup_pairs": f"""WITH {DOC_SKETCH}{CANDIDATES}, s AS (
           SELECT a, b, {SCORE} AS score FROM cand JOIN cls x ON x.id = a JOIN cls y ON y.id = b)
         SELECT a, b, round(score, 6) AS score FROM s WHERE score >= 0.82""",
+    "cross_corpus_pairs": f"""WITH {DOC_SKETCH}, {ITEM_SKETCH}, e1 AS (SELECT id, class, words, unnest(sample) AS h FROM cls), e2 AS (SELECT id, class, words, unnest(sample) AS h FROM cls2),
+        pr AS (SELECT DISTINCT e1.id AS a, e2.id AS b FROM e1 JOIN e2 USING (h) WHERE e1.class <> e2.class AND e1.words >= e2.words * 0.8 AND e2.words >= e1.words * 0.8),
+        s AS (SELECT a, b, {SCORE} AS score FROM pr JOIN cls x ON x.id = a JOIN cls2 y ON y.id = b
+          UNION ALL SELECT x.id, y.id, 1.0 FROM cls x JOIN cls2 y USING (class))
+        SELECT a AS doc_id, b AS item_id, round(score, 6) AS score FROM s WHERE score >= 0.05""",
     "vector_pairs": """SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 4) AS score
         FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) >= 0.3""",
     "pair_score_blend": """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

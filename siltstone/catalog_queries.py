@@ -270,7 +270,7 @@ def near_dup_groups(spark, sf_dir):
 @query
 def cross_corpus_pairs(spark, sf_dir):
     bench = K.text_sketch(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
-    return K.text_matches(K.text_classes(sketches(spark, sf_dir)), K.text_classes(bench), 0.5).select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), F.round("score", 6).alias("score"))
+    return K.text_matches(K.text_classes(sketches(spark, sf_dir)), K.text_classes(bench), 0.05).select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), F.round("score", 6).alias("score"))
 
 
 @query
