@@ -8,8 +8,10 @@ the weight that they leave to the next lower order. A text gets the language of
 per character. It is rejected where that lies above the language's own mean by more than chance explains:
 mean and deviation per character come from the same counts.
 
-Bound: the model goes to all executors, so it holds at most ``max_grams`` grams; beyond that the rarest are
-left out, by the least count that meets the bound. Texts and their counts are never cut.
+All counted grams are in the model, which goes to all executors: it grows with the types of the training
+rows. Only a caller who gives ``max_grams`` gets fewer: every language then keeps its own most frequent grams
+in an equal share of the bound (what small languages leave goes to the others), and mean and deviation still
+come from all counts.
 
 A null text, or one without letters, is ``und`` with score 0 and is rejected; so is every text where no
 row could be learned from. Ties go to the first language by code point. Repeated rows get equal results.
@@ -29,7 +31,6 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import batches_with, materialise, segment_sums, slices, split_words, text_place
 
 ORDER = 5
-MAX_GRAMS = 1_000_000
 START, END = 1, 2
 #: Deviations of the mean of n characters, and of a single one, that a text may lie above its language.
 REJECT_MEAN, REJECT_ONE = 6.0, 0.5
@@ -94,11 +95,12 @@ def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default:
 
 
 class Model:
-    def __init__(self, langs: list[str], grams: dict[str, np.ndarray], counts: dict[str, np.ndarray], order: int = ORDER):
+    def __init__(self, langs: list[str], grams: dict[str, np.ndarray], counts: dict[str, np.ndarray], order: int = ORDER, kept: dict[str, np.ndarray] | None = None):
+        """``kept``: which grams of each language to fit on; all where it is None. The calibration is over all."""
         self.order, self.langs = order, sorted(langs, key=lambda s: s.encode("utf-32-be"))
         alphabet = len(np.unique(np.concatenate([g[:, -1] for g in grams.values()]))) if langs else 1
         self.floor = 1.0 / (alphabet + 1)
-        self.orders = {lang: self._fit(grams[lang], counts[lang]) for lang in self.langs}
+        self.orders = {lang: self._fit(*((grams[lang], counts[lang]) if kept is None else (grams[lang][kept[lang]], counts[lang][kept[lang]]))) for lang in self.langs}
         self.mean, self.deviation = np.zeros(len(self.langs)), np.zeros(len(self.langs))
         for i, lang in enumerate(self.langs):
             cost, n = -self.log_probs(grams[lang], [lang])[:, 0], counts[lang]
@@ -232,27 +234,31 @@ def count_grams(rows: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.select("_lang", "_text").mapInArrow(run, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model | None:
+def most_frequent(counts: dict[str, np.ndarray], most: int) -> dict[str, np.ndarray]:
+    """Places of the grams that each language keeps of ``most`` in all: its most frequent ones, in equal shares."""
+    out, left = {}, most
+    by_size = sorted(counts, key=lambda lang: (len(counts[lang]), lang))
+    for i, lang in enumerate(by_size):
+        share = min(len(counts[lang]), left // (len(by_size) - i))
+        out[lang] = np.sort(np.argsort(-counts[lang], kind="stable")[:share])
+        left -= share
+    return out
+
+
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, max_grams: int | None = None) -> Model | None:
     """The model of all rows with a language and a text; None where there are none."""
     rows = df.select(F.col(f"`{lang_col}`").alias("_lang"), F.col(f"`{text_col}`").alias("_text")).filter("_lang is not null and _text is not null")
-    grams = materialise(count_grams(rows, order), "grams")
-    if grams.count() > max_grams:
-        by = grams.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n"))  # few rows: distinct counts below the bound
-        least, total = None, 0
-        for n, c in by.filter("n > 1").toLocalIterator():
-            if total + c > max_grams:
-                break
-            least, total = n, total + c
-        grams = grams.filter(F.col("n") >= (least or 1)).limit(max_grams)
-    found = grams.toArrow()
+    as_rows, counts = {}, {}
+    found = materialise(count_grams(rows, order), "grams").toArrow()
     if not found.num_rows:
         return None
-    as_rows, counts = {}, {}
     for lang in found["lang"].unique().to_pylist():
         own = found.filter(pa.compute.equal(found["lang"], lang))
-        as_rows[lang] = np.frombuffer(b"".join(own["gram"].to_pylist()), np.uint32).reshape(own.num_rows, order)
-        counts[lang] = own["n"].to_numpy()
-    return Model(list(as_rows), as_rows, counts, order)
+        held = np.concatenate([np.frombuffer(c.buffers()[2], np.uint32, len(c) * order, 4 * order * c.offset) for c in own["gram"].chunks if len(c)]).reshape(-1, order)
+        by = np.argsort(hashes(held), kind="stable")
+        as_rows[lang], counts[lang] = held[by], own["n"].to_numpy()[by]
+    kept = most_frequent(counts, max_grams) if max_grams is not None and sum(map(len, counts.values())) > max_grams else None
+    return Model(list(as_rows), as_rows, counts, order, kept)
 
 
 def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

@@ -109,6 +109,24 @@ def test_pruned_model_keeps_its_bound(spark):
     assert (got.lang == got.lang_pred).mean() > 0.95
 
 
+def test_all_grams_are_kept(spark):
+    draw = random.Random(4)
+    texts = [" ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(1000)) for _ in range(110)]
+    model = language.train(spark.createDataFrame([(t, "aa") for t in texts], "text string, lang string"))
+    grams = {w[i : i + 5] for t in texts for m in t.split() for w in [chr(language.START) + m + chr(language.END)] for i in range(len(w) - 4)}
+    assert len(grams) > 1_000_000 and len(model.orders["aa"][-1].grams) == len(grams)
+
+
+def test_bound_is_shared_by_language(spark):
+    draw = random.Random(6)
+    rows = [(sentence("aa", draw, 60), "aa") for _ in range(300)] + [(sentence("bb", draw, 20), "bb") for _ in range(2)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    full, model = language.train(df), language.train(df, max_grams=160)
+    assert model.langs == ["aa", "bb"] and len(model.orders["bb"][-1].grams) > 0.5 * len(full.orders["bb"][-1].grams)
+    got = language.predict(df, model).toPandas()
+    assert (got.lang == got.lang_pred).all() and got.rejected.mean() < 0.02
+
+
 def test_language_awkward(spark):
     got = language.predict(awkward(spark), language.train(awkward(spark))).toPandas()
     assert len(got) == 13 and (got.lang_pred[got.doc_id.isin([2, 3, 4, 5])] == "und").all() and (got.score[got.doc_id.isin([2, 3, 4, 5])] == 0).all()
