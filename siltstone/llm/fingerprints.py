@@ -7,6 +7,11 @@ moving words about changes it even where the set of k-mers stays. One hash and o
 coordinates, so the cost does not grow with their number. Likeness is the share of the coordinates used by
 either text in which the tuples agree.
 
+``order_minhash`` is the scheme as published: each of ``BINS`` hashes goes over all (k-mer, occurrence) and
+selects its own ``PICKED`` minima, so that every coordinate is in use and has a pair to put in order from two
+k-mers on. ``fingerprint`` deals instead: in texts of few words most of its coordinates hold one k-mer, which
+carries no order. The registered query uses the former; entries of both have one layout.
+
 All of it is built-in functions over arrays of one row. The successor in id order comes from one exchange:
 ids are cut into ranges by quantiles, each range is ordered on its own, and a copy of its first row is
 dealt to the range before it; at most ``MAX_RANGES`` boundaries come to the driver.
@@ -18,6 +23,8 @@ id stay in one range. Other columns are ignored. An empty table gives an empty r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,25 +34,61 @@ ROWS_A_RANGE, MAX_RANGES = 400, 4096
 #: An entry of a fingerprint has 32 bits, the coordinate in the highest ones.
 #: A packed long holds a hash above and a place in the text in its PLACE lowest bits.
 PLACE = 28
+ID = (1 << (64 - PLACE)) - 1
+LIKELY = 8
 LOW = (1 << PLACE) - 1
 HIGH = -1 - LOW
 BIN_SHIFT = 64 - (BINS - 1).bit_length()
 SPACE = r"[\\x20\\x09-\\x0D]+"
 
 
+def numbered_kmers(text: str, out: str) -> tuple[tuple[str, str], ...]:
+    """Columns of the words, of the k-mers in the order of their hash, equal ones in text order, and of where each new one starts."""
+    words, kmers, starts = (f"_{name}_{out}" for name in ("words", "kmers", "starts"))
+    grams = ", ".join(f"get({words}, i + {k})" for k in range(K))
+    return (
+        (words, f"split({text}, '{SPACE}')"),
+        (kmers, f"sort_array(transform(sequence(0, greatest(size({words}) - {K}, 0)), i -> (xxhash64({grams}) & {HIGH}) | cast(i as bigint)))"),
+        (starts, f"filter(sequence(0, size({kmers}) - 1), i -> i = 0 or shiftright(get({kmers}, i), {PLACE}) <> shiftright(get({kmers}, i - 1), {PLACE}))"),
+    )
+
+
+def numbered(kmers: str, starts: str) -> str:
+    """(hash of k-mer and occurrence, place in the text), packed."""
+    return f"flatten(transform({starts}, (a, r) -> transform(slice({kmers}, a + 1, coalesce(get({starts}, r + 1), size({kmers})) - a), (x, n) -> (xxhash64(shiftright(x, {PLACE}), n) & {HIGH}) | (x & {LOW}))))"
+
+
+def order_minhash(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add ``out``, an array<bigint> with an entry for each of ``BINS`` hashes over all k-mers of the column ``text``."""
+    kmers, starts, ids = (f"_{name}_{out}" for name in ("kmers", "starts", "ids"))
+    ordered = "if(array_position(t, a) < array_position(t, b), xxhash64(a, b), xxhash64(b, a))"
+    pair = f"get(transform(array(array_min(t)), a -> get(transform(array(array_min(array_remove(t, a))), b -> {ordered}), 0)), 0)"
+    # hashes below ``c`` are expected to be LIKELY; where they are too few, all are compared: minima do not depend on it
+    few = f"transform(array(filter(d, x -> xxhash64(x, i) < c)), s -> transform(if(size(s) < {PICKED}, d, s), x -> xxhash64(x, i)))"
+    chosen = f"get(transform({few}, t -> {pair}), 0)"
+    entries = f"transform(sequence(0, {BINS - 1}), i -> shiftleft(cast(i as bigint), {BIN_SHIFT - 32}) | shiftrightunsigned({chosen}, {96 - BIN_SHIFT}))"
+    keep = [c for c in df.columns]
+    steps = (
+        *numbered_kmers(text, out),
+        # in text order
+        (ids, f"transform(sort_array(transform({numbered(kmers, starts)}, x -> shiftleft(x & {LOW}, {64 - PLACE}) | shiftrightunsigned(x, {PLACE}))), x -> x & {ID})"),
+        # bound outside of the coordinates' lambda: the optimizer would put the array's expression into it
+        (out, f"get(transform(array({ids}), d -> get(transform(array(cast(least({LIKELY / 2**-64} / size(d) - {2.0**63}, {2.0**62}) as bigint)), c -> {entries}), 0)), 0)"),
+    )
+    for name, how in steps:
+        df = df.withColumn(name, F.expr(how))
+    return df.select(*[F.col(f"`{c}`") for c in keep], out)
+
+
 def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``, an array<bigint> with an entry for each coordinate in use, to a frame with the text column ``text``."""
-    words, kmers, starts, items, picks = (f"_{name}_{out}" for name in ("words", "kmers", "starts", "items", "picks"))
-    grams = ", ".join(f"get({words}, i + {k})" for k in range(K))
+    kmers, starts, items, picks = (f"_{name}_{out}" for name in ("kmers", "starts", "items", "picks"))
     tupled = ", ".join(f"if(shiftrightunsigned(get({picks}, i + {k}), {BIN_SHIFT}) = shiftrightunsigned(get({picks}, i), {BIN_SHIFT}), get({picks}, i + {k}) & {(1 << 31) - 1}, null)" for k in range(PICKED))
     keep = [c for c in df.columns]
     steps = (
-        (words, f"split({text}, '{SPACE}')"),
-        # k-mers in the order of their hash, equal ones in text order
-        (kmers, f"sort_array(transform(sequence(0, greatest(size({words}) - {K}, 0)), i -> (xxhash64({grams}) & {HIGH}) | cast(i as bigint)))"),
-        (starts, f"filter(sequence(0, size({kmers}) - 1), i -> i = 0 or shiftright(get({kmers}, i), {PLACE}) <> shiftright(get({kmers}, i - 1), {PLACE}))"),
-        # occurrence-numbered, in the order of the hash that deals and selects
-        (items, f"sort_array(flatten(transform({starts}, (a, r) -> transform(slice({kmers}, a + 1, coalesce(get({starts}, r + 1), size({kmers})) - a), (x, n) -> (xxhash64(shiftright(x, {PLACE}), n) & {HIGH}) | (x & {LOW})))))"),
+        *numbered_kmers(text, out),
+        # in the order of the hash that deals and selects
+        (items, f"sort_array({numbered(kmers, starts)})"),
         # the minimal ones of each coordinate, in text order: (coordinate, place, 31 bits of the hash)
         (picks, f"sort_array(transform(filter({items}, (x, i) -> i < {PICKED} or shiftrightunsigned(x, {BIN_SHIFT}) <> shiftrightunsigned(get({items}, i - {PICKED}), {BIN_SHIFT})), x -> shiftleft(shiftrightunsigned(x, {BIN_SHIFT}), {BIN_SHIFT}) | shiftleft(x & {LOW}, 31) | (shiftright(x, {PLACE}) & {(1 << 31) - 1})))"),
         (out, f"transform(filter(sequence(0, size({picks}) - 1), i -> i = 0 or shiftrightunsigned(get({picks}, i), {BIN_SHIFT}) <> shiftrightunsigned(get({picks}, i - 1), {BIN_SHIFT})), i -> shiftleft(shiftrightunsigned(get({picks}, i), {BIN_SHIFT}), {BIN_SHIFT - 32}) | shiftrightunsigned(xxhash64({tupled}), {96 - BIN_SHIFT}))"),
@@ -87,16 +130,16 @@ def with_next(df: DataFrame, rows_a_range: int = ROWS_A_RANGE, max_ranges: int =
     return dealt, Window.partitionBy("_range").orderBy("_copy", F.col("_id").asc_nulls_last(), "_hash")
 
 
-def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Callable[[DataFrame, str, str], DataFrame] = fingerprint) -> DataFrame:
     """Fingerprints of every text, of its edited text (its latter half replaced by as much of the next
-    document's beginning) and their likeness."""
+    document's beginning) and their likeness. ``sketch``: ``fingerprint`` or ``order_minhash``."""
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
     dealt, window = with_next(docs)
     rows = dealt.withColumn("_next", F.coalesce(F.lead("_text").over(window), F.lit(""))).withColumn("_n", F.char_length("_text"))
     half = F.floor(F.col("_n") / 2).cast("int")
     edited = F.concat(F.substring("_text", F.lit(1), F.col("_n") - half), F.substring("_next", F.lit(1), half))
     rows = rows.withColumn("_edited", edited).drop("_next")
-    rows = fingerprint(fingerprint(rows, "_text", "_own"), "_edited", "_other")
+    rows = sketch(sketch(rows, "_text", "_own"), "_edited", "_other")
     rows = rows.select("_id", "_range", "_copy", "_hash", "_n", "_own", "_other", F.sha2("_edited", 256).alias("edited_sha256"))
     rows = rows.withColumn("_after", F.lead("_own").over(window)).filter("not _copy")
     return rows.select(

@@ -71,9 +71,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siltstone.llm.fingerprints import edited_pairs
+    from siltstone.llm.fingerprints import edited_pairs, order_minhash
 
-    return edited_pairs(table(spark, sf_dir, "documents"))
+    return edited_pairs(table(spark, sf_dir, "documents"), sketch=order_minhash)
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_tokens, op3_language, op4_packing, op5_licenses, op6_neardup, op7_transport, op8_shards, op9_toxicity, op10_fingerprints)}

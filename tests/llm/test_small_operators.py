@@ -403,3 +403,38 @@ def test_order_matters():
     assert a & b and len(a & b) < 0.9 * len(a)
 
 
+def brute_order_minhash(text):
+    import re
+
+    f, m = fingerprints, 1 << 64
+    w = re.split(r"[\x20\x09-\x0D]+", text)
+    seen: dict = {}
+    ids = []
+    for i in range(max(1, len(w) - f.K + 1)):
+        h = _hash((w[i : i + f.K] + [None] * f.K)[: f.K]) >> f.PLACE
+        n = seen[h] = seen.get(h, -1) + 1
+        ids.append((xxh_int(n, _hash([h]) % m) >> f.PLACE) % (1 << 36))
+    out = []
+    for k in range(f.BINS):
+        picked = sorted((xxh_int(k, _hash([x]) % m), i) for i, x in enumerate(ids))[: f.PICKED]
+        out.append(k << (f.BIN_SHIFT - 32) | (_hash([h for h, _ in sorted(picked, key=lambda p: p[1])]) % m) >> (96 - f.BIN_SHIFT))
+    return out
+
+
+def test_order_minhash_against_brute_force(spark):
+    texts = [words(i, 3 + i * 7, 50) for i in range(20)] + ["", "one", "a b", "a b c d", "a a a a a a a a a a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in fingerprints.order_minhash(df, "t", "fp").collect():
+        assert r.fp == brute_order_minhash(r.t), r.t
+
+
+def test_registered_fingerprints_see_order_in_short_texts(spark, tmp_path):
+    from siltstone.llm.queries import op10_fingerprints
+
+    rows = []
+    for k in range(20):
+        w = words(k, 60, 10_000).split()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[30:] + w[:30]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.near_next for r in op10_fingerprints(spark, str(tmp_path)).collect() if r.doc_id % 2 == 0]
+    assert sum(got) / len(got) < 0.55
