@@ -101,18 +101,49 @@ def mux(payload: bytes) -> bytes:
 
 
 def sections(packets: np.ndarray) -> Iterator[bytes]:
-    """Sections that fit in one packet each, with a right checksum."""
+    """Sections of one PID with a right checksum, put together over packets by their length.
+
+    A repeated packet is skipped; where one is lost, what is open is dropped up to the next start."""
+    held, last = None, None
     for p in packets:
         raw = p.tobytes()
-        if not raw[1] & 0x40:
+        if not raw[3] & 0x10:
             continue
         at = 4 + (raw[4] + 1 if raw[3] & 0x20 else 0)
-        at += raw[at] + 1 if at < PACKET else 0
-        if at + 3 > PACKET:
-            continue
-        end = at + 3 + ((raw[at + 1] & 15) << 8 | raw[at + 2])
-        if end <= PACKET and end - at >= 12 and crc_mpeg(raw[at:end]) == 0:
-            yield raw[at:end]
+        jump = raw[3] & 0x20 and at > 5 and raw[5] & 0x80
+        if last is not None and not jump:
+            if (raw[3] - last[3]) & 15 == 0 and raw[4:] == last[4:]:
+                continue
+            if (raw[3] - last[3]) & 15 != 1:
+                held = None
+        elif jump:
+            held = None
+        last = raw
+        body = raw[at:]
+        if raw[1] & 0x40:
+            if not body or body[0] >= len(body):
+                held = None
+                continue
+            found, _ = closed(held + body[1 : 1 + body[0]]) if held is not None else ([], None)
+            yield from found
+            held = body[1 + body[0] :]
+        elif held is not None:
+            held += body
+        if held is not None:
+            found, held = closed(held)
+            yield from found
+
+
+def closed(data: bytes) -> tuple[list[bytes], bytes | None]:
+    """(whole sections with a right checksum, the beginning of the next one; None where stuffing follows)."""
+    out, at = [], 0
+    while at < len(data) and data[at] != 0xFF:
+        if at + 3 > len(data) or (end := at + 3 + ((data[at + 1] & 15) << 8 | data[at + 2])) > len(data):
+            return out, data[at:]
+        if end - at >= 12 and crc_mpeg(data[at:end]) == 0:
+            out.append(data[at:end])
+        at = end
+    return out, None if at < len(data) else b""
 
 
 def programs(packets: np.ndarray, pids: np.ndarray) -> dict[int, dict]:
@@ -152,7 +183,7 @@ def demux(data: bytes | None) -> dict:
     if out["skipped"]:
         packets = packets[good]
     pids = (packets[:, 1].astype(np.int64) & 31) << 8 | packets[:, 2]
-    out["programs"] = programs(packets[:64] if len(packets) > 64 and (pids[64:] > 0).all() else packets, pids[:64] if len(packets) > 64 and (pids[64:] > 0).all() else pids)
+    out["programs"] = programs(packets, pids)
     streams = {pid for p in out["programs"].values() for pid in p["streams"]}
     for pid in sorted(streams):
         own = packets[pids == pid]

@@ -235,6 +235,46 @@ def test_transport_damage():
     assert transport.demux(bytes(wrong))["skipped"] == 1
 
 
+def spread(pid, tables, room=184):
+    """Packets of sections that follow one another without stuffing between them."""
+    data, starts, at = b"".join(tables), [], 0
+    for t in tables:
+        starts.append(at)
+        at += len(t)
+    out, at, count = [], 0, 0
+    while at < len(data):
+        begins = [s - at for s in starts if at <= s < at + room - 1]
+        part = (bytes([begins[0]]) if begins else b"") + data[at : at + room - bool(begins)]
+        at += room - bool(begins)
+        out.append(bytes([transport.SYNC, (0x40 if begins else 0) | pid >> 8, pid & 255, 0x10 | count % 16]) + part.ljust(184, b"\xff"))
+        count += 1
+    return b"".join(out)
+
+
+def section(table_id, number, body):
+    packed = bytes([table_id]) + (0xB000 | (len(body) + 9)).to_bytes(2, "big") + number.to_bytes(2, "big") + b"\xc1\x00\x00" + body
+    return packed + transport.crc_mpeg(packed).to_bytes(4, "big")
+
+
+def test_late_tables_are_read():
+    media = transport.mux(random.Random(2).randbytes(64_000))
+    whole, filler = transport.demux(media), bytes([transport.SYNC, 0x1F, 0xFF, 0x10]) + b"\xff" * 184
+    late = transport.demux(media[:188] + filler * 70 + media[188:])
+    assert late["units"] == whole["units"] and late["programs"] == whole["programs"]
+
+
+def test_sections_over_packets():
+    entry = lambda pid: b"\x06" + (0xE000 | pid).to_bytes(2, "big") + b"\xf0\x00"
+    pids = range(0x200, 0x200 + 150)
+    pmt = [section(2, n, (0xE000 | 0x200).to_bytes(2, "big") + b"\xf0\x00" + b"".join(entry(p) for p in own)) for n, own in ((1, pids), (2, [0x400]), (3, [0x401]))]
+    pat = section(0, 1, b"".join(n.to_bytes(2, "big") + (0xE000 | 0x100).to_bytes(2, "big") for n in range(1, 101)))
+    media = spread(0, [pat]) + spread(0x100, pmt)
+    got = transport.demux(media)["programs"]
+    assert len(got) == 100 and set(got[1]["streams"]) == set(pids) and set(got[2]["streams"]) == {0x400} and set(got[3]["streams"]) == {0x401}
+    lost = transport.demux(spread(0, [pat]) + spread(0x100, pmt)[:188] + spread(0x100, pmt)[376:])["programs"]
+    assert lost[1]["streams"] == {} and set(lost[3]["streams"]) == {0x401}
+
+
 def test_time_stamps_of_33_bits():
     for ticks in (0, 1, 90_000, (1 << 33) - 1, 0x155555555):
         assert transport.read_stamp(transport.stamp(2, ticks)) == ticks
