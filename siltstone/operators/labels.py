@@ -62,16 +62,22 @@ def density_clusters(vectors: np.ndarray, least: int = 5, neighbours: int = 2) -
     n = len(vectors)
     if n < least:
         return np.full(n, -1)
-    d = np.sqrt(np.maximum(((vectors[:, None] - vectors[None]) ** 2).sum(axis=2), 0)) if n <= 512 else np.sqrt(np.maximum((vectors**2).sum(1)[:, None] + (vectors**2).sum(1)[None] - 2 * vectors @ vectors.T, 0))
-    core = np.sort(d, axis=1)[:, min(neighbours, n) - 1]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+    squares, nth = (vectors**2).sum(1), min(neighbours, n) - 1
+
+    def distances(a: int, b: int) -> np.ndarray:
+        """Of rows a to b from all rows; the whole table would grow with the square of the rows."""
+        own = vectors[a:b]
+        return np.sqrt(np.maximum(((own[:, None] - vectors[None]) ** 2).sum(axis=2) if n <= 512 else squares[a:b, None] + squares[None] - 2 * own @ vectors.T, 0))
+
+    core = np.concatenate([np.partition(distances(a, min(a + 256, n)), nth, axis=1)[:, nth] for a in range(0, n, 256)])
     # minimum spanning tree, then its edges in order build the hierarchy
     inside, best, via = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
     at, edges = 0, []
     for _ in range(n - 1):
         inside[at] = True
-        closer = reach[at] < best
-        best[closer], via[closer] = reach[at][closer], at
+        reach = np.maximum(distances(at, at + 1)[0], np.maximum(core[at], core))
+        closer = reach < best
+        best[closer], via[closer] = reach[closer], at
         best[inside] = np.inf
         at = int(best.argmin())
         edges.append((float(best[at]), int(via[at]), at))
@@ -153,10 +159,23 @@ def open_set_classes(vectors: DataFrame, labels: DataFrame, id_col: str = "id",
     """(id, class, confidence): labelled rows keep their label, unlabelled dense clusters become other_1, ...,
     and a linear classifier extends both; a row of low margin, or far from its class, gets none.
 
-    Fitting takes at most ``sample_rows`` rows, those of the least hashes; all rows are classified.
+    Fitting takes the ``sample_rows`` rows of the least hashes, and two rows of each label that has fewer than two
+    among them; all rows are classified. Which labels count, and how many rows a label has, is taken from all
+    rows. Unlabelled dense clusters are searched in the sample.
     ``vectors``: (id, vector of length 1). ``labels``: (id, labels)."""
     joined = vectors.select(F.col(id_col).alias("id"), F.col("vector")).join(labels.select("id", "labels"), "id", "left")
-    sample = joined.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas().sort_values("id")
+    order = F.struct(F.xxhash64("id").alias("h"), F.col("id"))
+    single = joined.filter("vector is not null and size(labels) = 1").withColumn("label", F.concat(F.lit("label:"), F.element_at("labels", 1)))
+    support = single.groupBy("label").agg(F.count("*").alias("n"), F.min(order)["id"].alias("low"), F.max(order)["id"].alias("high")).toPandas()
+    total = {k: int(n) for k, n in zip(support["label"], support["n"], strict=True) if n >= 2}
+    sample = joined.filter("vector is not null").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
+    seen = pd.Series(["label:" + v[0] for v in sample["labels"] if v is not None and len(v) == 1], dtype=object).value_counts()
+    rare = [r for r in support.itertuples() if r.label in total and seen.get(r.label, 0) < 2]
+    if rare:
+        ids = sorted({i for r in rare for i in (r.low, r.high)} - set(sample["id"]))
+        wanted = vectors.sparkSession.createDataFrame([(i,) for i in ids], f"id {joined.schema['id'].dataType.simpleString()}")
+        sample = pd.concat([sample, joined.join(wanted, "id", "left_semi").toPandas()])
+    sample = sample.sort_values("id")
     x = np.array([np.asarray(v, float) for v in sample["vector"]]).reshape(len(sample), -1)
     held = [list(v) if v is not None else [] for v in sample["labels"]]
     y = np.array(["label:" + v[0] if len(v) == 1 else "" for v in held], object)
@@ -165,14 +184,15 @@ def open_set_classes(vectors: DataFrame, labels: DataFrame, id_col: str = "id",
         found = density_clusters(x[free])
         y[np.flatnonzero(free)[found >= 0]] = [f"other_{k + 1}" for k in found[found >= 0]]
     for name in set(y) - {""}:
-        if (y == name).sum() < 2:
+        if name not in total and (y == name).sum() < 2:
             y[y == name] = ""
     classes = sorted(set(y) - {""})
     schema = f"id {vectors.schema[id_col].dataType.simpleString()}, class string, confidence double"
     if not classes or len(sample) < 5:
         return vectors.sparkSession.createDataFrame([], schema)
     train = y != ""
-    given = dict(zip(sample["id"][train], y[train], strict=True))
+    other = train & free
+    given = dict(zip(sample["id"][other], y[other], strict=True))
     centroids = np.array([x[y == k].mean(axis=0) for k in classes])
     centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
     limit = np.array([max(CENTROID_LEAST, np.quantile(x[y == k] @ centroids[i], 0.1) - CENTROID_SLACK) for i, k in enumerate(classes)])
@@ -187,17 +207,20 @@ def open_set_classes(vectors: DataFrame, labels: DataFrame, id_col: str = "id",
             if centroids[i] @ centroids[j] >= bound:
                 low, high = sorted((merged[i], merged[j]))
                 merged = [low if m == high else m for m in merged]
-    total = {k: int((y == k).sum()) for k in classes}
+    total |= {k: int((y == k).sum()) for k in classes if k not in total}
     shown = [max((classes[j] for j in range(len(classes)) if merged[j] == merged[i]), key=lambda k: (total[k], -len(k), k)).removeprefix("label:") for i in range(len(classes))]
 
+    at = {k: i for i, k in enumerate(classes)}
+
     def run(batches):
         for rows in batches:
             out = []
             m = np.array([np.asarray(v, float) for v in rows["vector"]]).reshape(len(rows), -1)
             scores = np.hstack([m, np.ones((len(m), 1))]) @ weights.T if weights is not None else None
-            for k, i in enumerate(rows["id"]):
-                if i in given:
-                    out.append((i, shown[classes.index(given[i])], 1.0))
+            for k, (i, label) in enumerate(zip(rows["id"], rows["label"], strict=True)):
+                known = label if label in at else given.get(i)
+                if known is not None:
+                    out.append((i, shown[at[known]], 1.0))
                 elif scores is not None:
                     order = np.argsort(scores[k])
                     best, margin = order[-1], scores[k, order[-1]] - scores[k, order[-2]]
@@ -206,4 +229,5 @@ def open_set_classes(vectors: DataFrame, labels: DataFrame, id_col: str = "id",
                         out.append((i, shown[best], float(min(0.99, max(0.51, 0.55 + 0.2 * margin + 0.2 * near)))))
             yield pd.DataFrame(out, columns=["id", "class", "confidence"])
 
-    return joined.select("id", "vector").filter("vector is not null").mapInPandas(run, schema)
+    label = F.when(F.size("labels") == 1, F.concat(F.lit("label:"), F.element_at("labels", 1)))
+    return joined.select("id", "vector", label.alias("label")).filter("vector is not null").mapInPandas(run, schema)

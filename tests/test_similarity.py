@@ -191,6 +191,21 @@ def test_weak_labels(spark):
     assert got["d/акт приёмки дс соглашение.pdf"] == ["акт_приемки", "дс_соглашение"] and {r.label: r.support for r in support.collect()} == {"акт_приемки": 6, "дс_соглашение": 6}
 
 
+def test_labels_outside_the_sample_are_kept(spark):
+    draw = np.random.default_rng(8)
+    base = np.eye(8)
+    rows, labels = [], []
+    for i in range(400):
+        k = 2 if i in (7, 133, 291) else i % 2
+        v = base[k] + draw.normal(0, 0.4, 8)
+        rows.append((i, [float(x) for x in v / np.linalg.norm(v)]))
+        labels.append((i, [f"c{k}"] if k == 2 or i % 4 < 2 else []))
+    v, lab = spark.createDataFrame(rows, "id long, vector array<double>"), spark.createDataFrame(labels, "id long, labels array<string>")
+    got = {r.id: r for r in L.open_set_classes(v, lab, sample_rows=30).collect()}
+    known = {i: x[0] for i, x in labels if x}
+    assert {i: got[i]["class"] for i in known if i in got} == known and all(got[i].confidence == 1.0 for i in known)
+
+
 def test_open_set_classes(spark):
     draw = np.random.default_rng(3)
     rows, labels = [], []
