@@ -244,7 +244,7 @@ def name_pairs(spark, sf_dir):
 
 @query
 def name_groups(spark, sf_dir):
-    return N.name_groups(part_names(spark, sf_dir), 0.8)
+    return N.name_groups(part_names(spark, sf_dir))
 
 
 @query
@@ -366,7 +366,7 @@ def size_bands(spark, sf_dir):
 @query
 def residual_names(spark, sf_dir):
     rows = part_files(spark, sf_dir).select("path", F.col("p_size").cast("long").alias("size"))
-    return G.residual_name_groups(rows, 0.8)
+    return G.residual_name_groups(rows)
 
 
 @query

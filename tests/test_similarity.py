@@ -191,6 +191,19 @@ def test_weak_labels(spark):
     assert got["d/акт приёмки дс соглашение.pdf"] == ["акт_приемки", "дс_соглашение"] and {r.label: r.support for r in support.collect()} == {"акт_приемки": 6, "дс_соглашение": 6}
 
 
+def test_registered_name_groups_use_the_operators_bound(spark, monkeypatch):
+    from siltstone import catalog_queries as C
+
+    pairs = {"name": ["red widget", "red gadget"], "brand": ["Brand#1", "Brand#2"]}
+    rows = [(k, n, b, "STANDARD TIN", 5) for k, (n, b) in enumerate(zip(pairs["name"], pairs["brand"], strict=True))] + [(9, "zzz qqq", "Brand#7", "PROMO COPPER", 5)]
+    parts = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    monkeypatch.setattr(C, "read", lambda *_: parts)
+    names = C.part_names(spark, "")
+    score = N.scored_pairs(N.features(names), 0.4).agg(F.max("score")).first()[0]
+    assert 0.4 <= score < 0.8
+    assert C.QUERIES["name_groups"](spark, "").select("cluster").distinct().count() == 2
+
+
 def test_labels_outside_the_sample_are_kept(spark):
     draw = np.random.default_rng(8)
     base = np.eye(8)
