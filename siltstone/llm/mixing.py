@@ -10,8 +10,9 @@ landing problem of LANDING records at most, solved by trying every outcome.
 
 No task sees more than a block, so a source with most of the rows is only more blocks. The draws come
 from a seed, the source's rank and the block: reruns agree. Sources order by code point, null last. A null
-text has size 0; a source of size 0 has target 0. Repeated rows are drawn each on their own. An empty
-table gives an empty result. Only the named columns are read.
+text has size 0; a source of size 0 has target 0. Repeated rows are drawn each on their own. Of a very long
+text only its size is held. An empty table gives an empty result. Only the named columns are read, so
+others may have any name.
 """
 
 from __future__ import annotations
@@ -25,31 +26,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise, row_key, take_copies, word_count
+from siltstone.llm.common import materialise, numbered_copies, row_key, take_copies, word_count
+from siltstone.operators.ranking import numbered
 
 BLOCK_ROWS = 4000
 EPS = 1e-9
 LANDING = 14
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -> list[float]:
-    """Shares of the total by weight; none above ``most`` times its size."""
-    total, out = float(sum(sizes)), [0.0] * len(sizes)
-    open_ = [i for i, n in enumerate(sizes) if n > 0]
-    left = total
-    while open_ and left > 0:
-        weight = sum(weights[i] for i in open_)
-        share = {i: left * weights[i] / weight for i in open_}
-        full = [i for i in open_ if share[i] >= most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = share[i]
+def with_targets(sources: DataFrame, weights: Sequence[float], most: float = 3.0) -> DataFrame:
+    """``sources`` (_source, source_size, rows) with its number _s from 0 on by code point, null last, and target.
+
+    A target is the level times the weight, or ``most`` times the size where that is less. The level rises as
+    sources reach their bound and leave the rest to the others; each round is one aggregate, and the level is
+    all that comes to the driver, so there may be as many sources as rows."""
+    ranked = numbered(sources, [(F.col("_source").isNull(), False), (F.col("_source"), False)], "_s").withColumn("_s", F.col("_s") - 1)
+    held = materialise(ranked.withColumn("_w", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("_s") % len(weights) + 1).cast("int"))), "sources")
+    total = held.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    bound, level = F.col("source_size") * F.lit(float(most)), -1.0
+    while True:
+        full = (F.col("source_size") == 0) | (bound <= F.lit(level) * F.col("_w"))
+        open_weight, at_bound = held.agg(F.coalesce(F.sum(F.when(~full, F.col("_w"))), F.lit(0.0)), F.coalesce(F.sum(F.when(full, F.col("source_size"))), F.lit(0))).first()
+        if not open_weight or (total - most * at_bound) / open_weight <= level:
             break
-        for i in full:
-            out[i] = most * sizes[i]
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return out
+        level = (total - most * at_bound) / open_weight
+    return held.withColumn("target", F.when(full, bound).otherwise(F.lit(level) * F.col("_w"))).drop("_w")
 
 
 def flight(prob: list[float], size: Sequence[float], draw: random.Random) -> list[int]:
@@ -129,24 +130,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size:
     size = word_count(F.col("text")) if size is None else size
     kept = [c.alias(f"_x{i}") for i, c in enumerate(extra)]
     base = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").cast("string").alias("_source"), size.alias("_size"), *kept)
-    # equal rows are counted and dealt out again by their number, so that no key decides a block alone
-    alike = base.groupBy(*base.columns).agg(F.count("*").alias("_n"))
-    base = materialise(alike.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_n"), "sizes")
-    sums = base.groupBy("_source").agg(F.sum("_size").alias("n"), F.count("*").alias("rows")).collect()  # a row for each source
-    sums.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
-    wanted = targets([r["n"] for r in sums], [weights[i % len(weights)] for i in range(len(sums))], most)
-    rated, blocks = [], {}
-    for i, (r, t) in enumerate(zip(sums, wanted, strict=True)):
-        rate = t / r["n"] if r["n"] else 0.0
-        whole = math.floor(rate + EPS)
-        blocks[i] = max(1, -(-r["rows"] // block_rows))
-        rated.append((i, r[0], r["n"], t, whole, max(0.0, rate - whole), blocks[i]))
-    plan = df.sparkSession.createDataFrame(rated, "_s int, _source string, source_size long, target double, _whole long, _rate double, _blocks long")
-    keyed = base.join(plan, base["_source"].eqNullSafe(plan["_source"])).drop("_source")
+    base = materialise(numbered_copies(base), "sizes")  # so that no key decides a block alone
+    sums = base.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("rows"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    plan = with_targets(sums, weights, most).withColumn("_whole", F.floor(rate + EPS)).withColumn("_rate", F.greatest(F.lit(0.0), rate - F.col("_whole")))
+    plan = materialise(plan.withColumn("_blocks", F.ceil(F.col("rows") / block_rows).cast("long")).drop("rows"), "plan")
+    keyed = base.join(plan.withColumnRenamed("_source", "_of"), F.col("_source").eqNullSafe(F.col("_of"))).drop("_source", "_of")
     hashed = keyed.withColumn("_h", F.xxhash64("_id", "_size", "_row", F.lit(seed))).withColumn("_b", F.pmod("_h", "_blocks")).withColumn("_p", F.col("_rate"))
     columns = ["_id", "_size", "_row", *(f"_x{i}" for i in range(len(extra))), "_s", "source_size", "target", "_whole", "_h", "_b", "_p"]
     rows, level, done = hashed.select(*columns), 0, []
-    blocks_now = max(blocks.values(), default=1)
+    blocks_now = plan.agg(F.max("_blocks")).first()[0] or 1
     while True:
         last = blocks_now <= 1
         moved = materialise(rows.groupBy("_s", "_b").applyInPandas(_level(seed, level, last), rows.schema), f"level{level}")

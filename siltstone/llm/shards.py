@@ -5,11 +5,15 @@ are aggregated, and a versioned map says which shard holds a slot. Rebalancing e
 whole slots and leaves all others where they are. Only DataFrame functions run on the executors.
 
 Law: ``bytes``. Shards differ by about one slot's bytes, or by one record where a record is larger. The
-slot of a row is a hash of its id and text checksum, so a group of equal texts is spread over the slots
-and cannot overload a shard.
+slot of a row is a hash of its id, text checksum and number among equal rows, so neither a group of equal
+texts nor a row that is repeated without end overloads a shard: both are spread over the slots.
 
-Nulls: a null text has 0 bytes and counts 1, a null id is hashed as null. Repeated rows get positions of
-their own. An empty table gives an empty result. Other columns are ignored, whatever their names.
+Nulls: a null text has 0 bytes and counts 1, a null id is hashed as null. Repeated rows get slots and
+positions of their own. Of a very long text only its size and checksum travel. An empty table gives an
+empty result. Other columns are ignored, whatever their names.
+
+A stored map is a table of ``n_slots`` rows for each version; ``load_map`` raises where there is none.
+``rebalance`` reads two lists of that length and no records.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.llm.common import materialise, shared_dir
+from siltstone.llm.common import materialise, numbered_copies, shared_dir
 
 N_SLOTS = 4096
 MAP_SCHEMA = "version int, n_shards int, virtual_slot int, shard int, first long, bytes long, rows long"
@@ -114,11 +118,11 @@ def rebalance(old: SlotMap, n_shards: int, bytes_of: list[int] | None = None, ro
 
 
 def slotted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot): the records without their texts, as a table."""
+    """(doc_id, size, text_crc32, number among equal rows, virtual_slot): the records without their texts, as a table."""
     raw = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    slot = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(n_slots)).cast("int")
-    return materialise(rows.withColumn("virtual_slot", slot), "slotted")
+    slot = F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "alike"), F.lit(n_slots)).cast("int")
+    return materialise(numbered_copies(rows, "alike").withColumn("virtual_slot", slot), "slotted")
 
 
 def measure(records: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], list[int]]:
@@ -133,8 +137,8 @@ def place(records: DataFrame, slot_map: SlotMap, path: str) -> DataFrame:
     """Add shard and slot, the gapless position in the shard: rows are numbered within their virtual slot
     and the map holds how many come before, so no task sorts a shard. The map has ``n_slots`` rows."""
     stored = slot_map.save(records.sparkSession, path).select("virtual_slot", "shard", "first")
-    number = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    return records.withColumn("_n", number).join(F.broadcast(stored), "virtual_slot").withColumn("slot", (F.col("first") + F.col("_n") - 1).cast("long")).drop("_n", "first")
+    number = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "alike"))
+    return records.withColumn("_n", number).join(F.broadcast(stored), "virtual_slot").withColumn("slot", (F.col("first") + F.col("_n") - 1).cast("long")).drop("_n", "first", "alike")
 
 
 def shard(df: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:

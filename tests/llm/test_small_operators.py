@@ -14,12 +14,67 @@ SCHEMA = "doc_id long, text string, source string"
 # mixing
 
 
-def test_targets_share_by_weight_and_stop_at_three_times():
-    assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([187.5, 75, 37.5])
-    got = mixing.targets([10, 1000, 1000], [5, 2, 1])
+def plain_targets(sizes, weights, most=3.0):
+    """Shares by weight; a share above its bound is cut to it, and what is over dealt again."""
+    out, open_, left = [0.0] * len(sizes), [i for i, n in enumerate(sizes) if n], float(sum(sizes))
+    while open_:
+        weight = sum(weights[i % len(weights)] for i in open_)
+        share = {i: left * weights[i % len(weights)] / weight for i in open_}
+        full = [i for i in open_ if share[i] >= most * sizes[i]]
+        for i in full or open_:
+            out[i] = most * sizes[i] if full else share[i]
+        left -= sum(out[i] for i in full)
+        open_ = [i for i in open_ if i not in full] if full else []
+    return out
+
+
+def found_targets(spark, sizes, weights=(5, 2, 1)):
+    rows = spark.createDataFrame([(f"s{i:04}", n, 1) for i, n in enumerate(sizes)], "_source string, source_size long, rows long")
+    return [r.target for r in sorted(mixing.with_targets(rows, weights).collect(), key=lambda r: r._s)]
+
+
+def test_targets_share_by_weight_and_stop_at_three_times(spark):
+    assert found_targets(spark, [100, 100, 100]) == pytest.approx([187.5, 75, 37.5])
+    got = found_targets(spark, [10, 1000, 1000])
     assert got[0] == 30 and sum(got) == pytest.approx(2010) and got[1] == pytest.approx(2 * got[2])
-    assert mixing.targets([0, 10], [5, 2]) == [0, 10]
-    assert mixing.targets([], []) == []
+    assert found_targets(spark, [0, 10]) == [0, 10]
+    assert found_targets(spark, []) == []
+    draw = random.Random(5)
+    for n in (7, 40):
+        sizes = [int(draw.paretovariate(0.6) * 10) for _ in range(n)]
+        assert found_targets(spark, sizes) == pytest.approx(plain_targets(sizes, (5, 2, 1)))
+
+
+def test_sources_are_in_order_of_code_points(spark):
+    names = ["b", None, "\U0001f600", "\uffff", "a", "Z", ""]
+    rows = spark.createDataFrame([(n, 1, 1) for n in names], "_source string, source_size long, rows long")
+    got = [r._source for r in sorted(mixing.with_targets(rows, (5, 2, 1)).collect(), key=lambda r: r._s)]
+    assert got == ["", "Z", "a", "b", "\uffff", "\U0001f600", None]
+
+
+def test_a_row_repeated_beyond_a_run_is_dealt_out(spark, monkeypatch):
+    from siltstone.llm import common
+
+    monkeypatch.setattr(common, "COPIES", 7)
+    df = spark.createDataFrame([(1, "a b c", "s")] * 100 + [(2, "d e", "t")] * 3, SCHEMA)
+    rows = common.numbered_copies(df).collect()
+    assert sorted(r._row for r in rows if r.doc_id == 1) == list(range(1, 101)) and len(rows) == 103
+    k = [c for c in common.row_key(df)]
+    decisions = df.select(*k).distinct().selectExpr("_k1", "_k2", "if(_k1 = first_value(_k1) over (order by _k1), 30, 2) as copies")
+    assert sorted(r[1] for r in common.take_copies(df, decisions).groupBy("doc_id").count().collect()) == [2, 30]
+
+
+def test_rows_that_differ_in_a_map_or_a_null_stay_apart(spark):
+    from siltstone.llm.common import row_key, take_copies
+
+    rows = [(1, {"a": 1, "b": 2}, None, "x"), (1, {"b": 2, "a": 1}, None, "x"), (1, {"a": 2}, None, "x"), (1, None, None, "x"), (1, None, "x", None), (1, {}, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, m map<string,int>, p string, q string")
+    nested = df.selectExpr("*", "array(named_struct('k', m)) n")
+    for frame in (df, nested):
+        keys = frame.select(*row_key(frame)).collect()
+        assert keys[0] == keys[1] and len(set(keys)) == 5
+        one = take_copies(frame, frame.select(*row_key(frame)).distinct().selectExpr("*", "1 as copies"))
+        assert one.columns == frame.columns and one.count() == 5 and one.filter("m['a'] = 2").count() == 1
 
 
 def test_flight_keeps_both_totals_and_leaves_two():
@@ -150,9 +205,56 @@ def test_variable_packing_invariants_and_prices():
 
 
 def test_opens_the_cheapest_length():
-    assert packing.open_length(10, 0, (16, 64)) == 16
-    assert packing.open_length(10, 1000, (16, 64)) == 64
-    assert packing.open_length(60, 0, (16, 64)) == 64
+    own = lambda sizes: packing.Opener(sizes, (16, 64), 8, 1 << 20)
+    assert own([10])(0) == 16 and own([10] * 100)(0) == 64 and own([60])(0) == 64
+    # attention makes long bins dear, however full
+    assert packing.Opener([10] * 100, (16, 64), 1, 8)(0) == 16
+    assert packing.Opener([10, 5, 4, 3, 3, 1], (16, 64), 8, 1 << 20).filled(0, 20) == 20
+
+
+def cheapest(sizes, lengths, bin_price, span):
+    """The least price of all ways to put the pieces into bins."""
+    best = [float("inf")]
+
+    def go(i, bins):
+        if i == len(sizes):
+            best[0] = min(best[0], sum(packing.price(min(x for x in lengths if x >= b), bin_price, span) for b in bins))
+            return
+        for k in range(len(bins) + 1):
+            now = [*bins, 0] if k == len(bins) else list(bins)
+            if now[k] + sizes[i] <= max(lengths):
+                now[k] += sizes[i]
+                go(i + 1, now)
+
+    go(0, [])
+    return best[0]
+
+
+def total_price(capacity, bin_price, span):
+    return sum(packing.price(c, bin_price, span) for c in capacity)
+
+
+def test_packing_against_all_ways_to_pack():
+    draw, ratios = random.Random(8), []
+    for _ in range(40):
+        lengths = sorted(draw.sample((8, 12, 16, 24, 32, 48), 3))
+        sizes = [draw.randrange(1, max(lengths) + 1) for _ in range(draw.randrange(1, 8))]
+        bin_price, span = draw.choice((1, 4, 16)), draw.choice((16, 64, 1000))
+        got = total_price(packing.pack(sizes, lengths, bin_price, span)[2], bin_price, span)
+        ratios.append(got / cheapest(sizes, lengths, bin_price, span))
+    assert min(ratios) > 1 - 1e-9 and max(ratios) < 1.35 and sum(ratios) / len(ratios) < 1.05
+
+
+def test_several_lengths_cost_less_than_any_single_one():
+    draw = random.Random(9)
+    sizes = [min(8192, int(draw.paretovariate(1.1) * 60)) for _ in range(4000)]
+    capacity = packing.pack(sizes)[2]
+    joint = total_price(capacity, packing.BIN_PRICE, packing.SPAN)
+    assert len(set(capacity)) >= 4
+    longest = packing.pack(sizes, (8192,))[2]
+    assert joint < 0.9 * total_price(longest, packing.BIN_PRICE, packing.SPAN)
+    for least in packing.LENGTHS:  # one length for all that fit it, the next longer one for others
+        assert joint <= total_price(packing.pack(sizes, [n for n in packing.LENGTHS if n >= least])[2], packing.BIN_PRICE, packing.SPAN) + 1e-6
 
 
 def test_pack_blocks_is_lossless(spark):
@@ -332,6 +434,15 @@ def test_shard_positions_and_balance(spark):
     assert mine["size"] == len(first) + 1 and mine.text_crc32 == zlib.crc32(first)
 
 
+def test_repeated_rows_are_spread_by_bytes(spark):
+    df = spark.createDataFrame([(1, "a b c d", "s")] * 3000 + [(i, words(i, 3), "s") for i in range(2, 300)], SCHEMA)
+    got = shards.shard(df, 8).toPandas()
+    by = got.groupby("shard")["size"].sum()
+    assert len(got) == 3298 and len(by) == 8 and by.max() / by.min() < 1.1
+    for _, own in got.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+
+
 def test_shards_awkward(spark):
     got = shards.shard(awkward(spark), 3).toPandas()
     assert len(got) == 13 and got.shard.between(0, 2).all() and got[got.doc_id == 2].iloc[0]["size"] == 1
