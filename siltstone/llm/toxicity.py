@@ -7,11 +7,14 @@ loss of the unlabelled as clean less prior * that of the toxic as clean; where t
 zero, the step climbs it back instead. Copies and near copies in the sample count once, so that a text that
 was copied often doesn't teach its rare words.
 
-Bounds: fitting takes at most ``max_positive`` toxic and ``max_unlabelled`` texts, those of the least
-hashes; scoring covers all rows and whole texts. The model has at most ``MAX_FEATURES`` weights.
+Bounds: fitting takes at most ``max_positive`` toxic and ``max_unlabelled`` texts, those of the ids of the
+least hashes, one for each id; scoring covers all rows and whole texts. The model has at most
+``MAX_FEATURES`` weights.
 
 A null, empty or wordless text gets the score of the bias alone. With no toxic row to learn from, all
-scores are 0. Repeated rows get equal scores. Result columns replace input columns of the same name.
+scores are 0. Repeated rows get equal scores. Of rows with one id and several texts the least text may
+teach. A very long text is scored whole. An empty table gives an empty result and teaches nothing. Result
+columns of ``score`` replace input columns of the same name; ``clean`` adds none.
 """
 
 from __future__ import annotations
@@ -220,7 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = picked.unionByName(texts.select("_id").distinct().orderBy(by_hash, "_id").limit(max_unlabelled).withColumn("_set", F.lit(1)))
     marks = known.groupBy("_id").agg(F.max("_y").cast("double").alias("_y"))
     picked = picked.join(marks, "_id", "left")
-    chosen = texts.join(F.broadcast(picked), "_id")  # at most max_positive + max_unlabelled ids
+    # at most max_positive + max_unlabelled ids, and one text of each: an id that many rows share counts once
+    chosen = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_set", "_y").agg(F.min("_text").alias("_text"))
 
     def run(batches):
         for batch in batches:
@@ -253,3 +257,16 @@ def score(df: DataFrame, model: Model | None, text_col: str = "text", threshold:
             yield batches_with(batch, {"score": pa.array(values), "predicted": pa.array((values >= threshold).astype(np.int32))})
 
     return df.mapInArrow(run, schema)
+
+
+def clean(df: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df`` that are not predicted toxic, with its own columns only, whatever their names."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    place = text_place(df, text_col)
+
+    def run(batches):
+        for batch in batches:
+            found = shared.value
+            yield batch.filter(pa.array(found.scores(batch.column(place)) < threshold)) if found else batch
+
+    return df.mapInArrow(run, df.schema)

@@ -101,12 +101,49 @@ def test_held_out_accuracy_and_rejection(spark):
     assert language.predict(odd, model).select("rejected").toPandas().rejected.all()
 
 
-def test_pruned_model_keeps_its_bound(spark):
-    df = corpus(spark, 200)
-    model = language.train(df, max_grams=200)
-    assert sum(len(o[-1].grams) for o in model.orders.values()) <= 200
-    got = language.predict(df, model).toPandas()
-    assert (got.lang == got.lang_pred).mean() > 0.95
+def noisy_corpus(spark):
+    draw = random.Random(12)
+    rows = [(i, " ".join(sentence(draw.choice(["aa", "aa", lang]), draw, 3) for _ in range(draw.randrange(1, 12))), lang) for i in range(400) for lang in [draw.choice(sorted(SYLLABLES))]]
+    rows += [(900, "ba lo 12 \u0301 mi", "aa"), (901, None, "aa"), (902, "kro", None), (903, "solo", "dd")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_tables_give_what_arrays_give(spark):
+    df = noisy_corpus(spark)
+    arrays, tables = language.train(df), language.train(df, broadcast_grams=10)
+    assert arrays.langs == tables.langs == ["aa", "bb", "cc", "dd"]
+    for of in ("mean", "deviation", "room"):
+        assert getattr(tables, of) == pytest.approx(getattr(arrays, of), rel=1e-5)
+    texts = awkward(spark).select("doc_id", "text", "score").union(df.selectExpr("doc_id", "concat(text, ' qu')", "-1.0")).union(df.limit(5).selectExpr("doc_id", "text", "-1.0"))
+    a, b = ([tuple(r) for r in language.predict(texts, m).sort("doc_id", "text").collect()] for m in (arrays, tables))
+    assert len(a) == len(b) == texts.count() and language.predict(texts, arrays).columns == language.predict(texts, tables).columns
+    for x, y in zip(a, b, strict=True):
+        assert x[:3] == y[:3] and x[3] == pytest.approx(y[3], rel=1e-5) and (x[4] == y[4] or x[4] == pytest.approx(y[4], rel=1e-5)) and x[5] == y[5]
+    kept = [language.accepted(texts, m) for m in (arrays, tables)]
+    assert kept[0].columns == kept[1].columns == texts.columns and kept[0].count() == kept[1].count() == sum(not x[5] for x in a)
+    assert language.accepted(empty(spark), tables).count() == 0 and language.accepted(awkward(spark), None).count() == 0
+
+
+def test_rejection_is_calibrated_on_rows_held_out(spark):
+    df = noisy_corpus(spark)
+    model = language.train(df)
+    held = df.selectExpr("lang as _lang", "text as _text").filter("_text is not null and _lang = 'aa'").filter(language.is_held())
+    assert held.count() > 5
+    # as held out: mean and deviation of characters that the other rows' model has not seen
+    rest = df.join(held, df["text"] == held["_text"], "left_anti").filter("lang = 'aa' and text is not null")
+    alone = language.train(rest)
+    grams = {r.gram: r.n for r in language.count_grams(held).collect()}
+    matrix = language.as_matrix(pa.array(list(grams), pa.binary()), language.ORDER)
+    cost, n = -alone.log_probs(matrix, ["aa"])[:, 0], np.array(list(grams.values()))
+    assert model.mean[0] == pytest.approx((cost * n).sum() / n.sum(), rel=0.02)  # the floor differs: it counts all languages' characters
+    assert (model.room >= language.LEAST_ROOM).all()
+
+
+@pytest.mark.parametrize("text", ["\U0001f44d\ufe0f", "\ufe0f", "12\u0301 \u0301\u0302", "\u0301", "3\ufe0f\u20e3"])
+def test_marks_without_a_letter_are_no_language(spark, text):
+    model = language.train(corpus(spark, 60))
+    got = language.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()[0]
+    assert got.lang_pred == "und" and got.score == 0 and got.rejected
 
 
 def test_all_grams_are_kept(spark):
@@ -117,16 +154,6 @@ def test_all_grams_are_kept(spark):
     assert len(grams) > 1_000_000 and len(model.orders["aa"][-1].grams) == len(grams)
 
 
-def test_bound_is_shared_by_language(spark):
-    draw = random.Random(6)
-    rows = [(sentence("aa", draw, 60), "aa") for _ in range(300)] + [(sentence("bb", draw, 20), "bb") for _ in range(2)]
-    df = spark.createDataFrame(rows, "text string, lang string")
-    full, model = language.train(df), language.train(df, max_grams=160)
-    assert model.langs == ["aa", "bb"] and len(model.orders["bb"][-1].grams) > 0.5 * len(full.orders["bb"][-1].grams)
-    got = language.predict(df, model).toPandas()
-    assert (got.lang == got.lang_pred).all() and got.rejected.mean() < 0.02
-
-
 def test_language_awkward(spark):
     got = language.predict(awkward(spark), language.train(awkward(spark))).toPandas()
     assert len(got) == 13 and (got.lang_pred[got.doc_id.isin([2, 3, 4, 5])] == "und").all() and (got.score[got.doc_id.isin([2, 3, 4, 5])] == 0).all()
@@ -238,3 +265,20 @@ def test_toxicity_awkward(spark):
         assert toxicity.train(awkward(spark), no) is None
     assert toxicity.score(awkward(spark), None).toPandas().score.max() == 0
     assert toxicity.train(empty(spark), labels) is None and toxicity.score(empty(spark), model).count() == 0
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    df, labels, _ = toxic_corpus(spark, 400)
+    model = toxicity.train(df, labels)
+    odd = df.selectExpr("doc_id", "text", "7.0 as score", "'x' as predicted")
+    kept = toxicity.clean(odd, model)
+    assert kept.columns == odd.columns and kept.filter("score <> 7.0 or predicted <> 'x'").count() == 0
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in toxicity.score(df, model).filter("predicted = 0").collect())
+    assert toxicity.clean(awkward(spark), None).count() == 13 and toxicity.clean(empty(spark), model).count() == 0
+
+
+def test_an_id_that_many_rows_share_teaches_once(spark):
+    df, labels, _ = toxic_corpus(spark, 400)
+    many = df.union(spark.createDataFrame(df.filter("doc_id = 3").collect() * 500, df.schema))
+    a, b = toxicity.train(df, labels), toxicity.train(many, labels)
+    assert (a.features == b.features).all() and a.weights == pytest.approx(b.weights) and a.bias == pytest.approx(b.bias)
