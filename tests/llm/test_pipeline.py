@@ -51,3 +51,32 @@ def test_run_and_registration(spark, tmp_path):
     got = entry.queries()["pipeline"](spark, str(tmp_path))
     assert got.count() > 300 and set(got.columns) >= {"doc_id", "bin_id", "capacity", "offset"}
     assert {f"op{n}_" for n in range(1, 11)} == {f"{k.split('_')[0]}_" for k in entry.queries() if re.match(r"op\d", k)}
+
+
+def test_awkward_and_empty_tables_pass_every_stage(spark, tmp_path):
+    from tests.llm.cases import awkward, empty
+
+    for name, make in (("awkward", awkward), ("empty", empty)):
+        path = str(tmp_path / name)
+        own = make(spark).selectExpr("*", "map('k', doc_id) as m", "'mine' as rejected", "'mine' as predicted", "'mine' as lang_pred", "'mine' as _found", "'mine' as copies", "'mine' as component_id")
+        own.write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(1, 0, 0), (6, 0, None), (8, 1, 0)] if name == "awkward" else [], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES:
+            out = run(spark, docs, path)
+            if stage != "packing":
+                assert out.columns == docs.columns
+                rows = out.collect()
+                assert all(r.score == -1.0 and r.rejected == r.predicted == r.lang_pred == r["_found"] == "mine" and r.m == {"k": r.doc_id} for r in rows)
+                whole = {(r.doc_id, r.text, r.source) for r in own.collect()}
+                assert {(r.doc_id, r.text, r.source) for r in rows} <= whole
+            out.write.parquet(f"{path}/out_{stage}")
+            docs = spark.read.parquet(f"{path}/out_{stage}")
+        assert (docs.count() > 0) == (name == "awkward")
+
+
+def test_rows_that_differ_only_in_a_map_stay_apart(spark):
+    from siltstone.llm.mixing import mixed
+
+    df = spark.createDataFrame([(1, "a b c", "s", {"a": 1}), (1, "a b c", "s", {"a": 2})], "doc_id long, text string, source string, m map<string,int>")
+    assert sorted(r.m["a"] for r in mixed(df).collect()) == [1, 2]
