@@ -5,9 +5,14 @@ reassembles elementary packets and keeps their time stamps and random-access poi
 payload as one private-data stream, so that payloads can be kept losslessly in a media column. Both work
 on whole arrays of packets with numpy.
 
+Tables are read over all packets of their PIDs, from sections put together over packets; only sections
+marked current count, and a later version takes over.
+
 Nulls and damage: a null value has no packets. Bytes before the first sync byte and packets with a wrong
 sync byte or the transport error flag are counted and skipped; a missing table gives no streams. Nothing
-raises on bad input. Result columns replace input columns of the same name; other columns are ignored.
+raises on bad input. Equal values give equal results, so repeated rows and ties do too. A very long text or
+value is stored and parsed whole, by itself. An empty table gives an empty result. Only the named columns
+are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import slices
+
 PACKET, SYNC = 188, 0x47
 PMT_PID, DATA_PID, STREAM_TYPE, STREAM_ID = 0x100, 0x101, 0x06, 0xBD
 UNIT_BYTES, UNIT_TICKS, UNITS_PER_POINT = 4096, 3600, 8
@@ -146,23 +153,37 @@ def closed(data: bytes) -> tuple[list[bytes], bytes | None]:
     return out, None if at < len(data) else b""
 
 
+def applied(packets: np.ndarray, table_id: int) -> Iterator[bytes]:
+    """Sections of a table as they come into force: current ones, each number of a version once."""
+    last: dict[int, bytes] = {}
+    for s in sections(packets):
+        if s[0] == table_id and s[5] & 1 and last.get(s[6]) != s:
+            last[s[6]] = s
+            yield s
+
+
 def programs(packets: np.ndarray, pids: np.ndarray) -> dict[int, dict]:
-    """Program number to its map PID, clock PID and stream types by PID."""
+    """Program number to its map PID and version, clock PID and stream types by PID. A later version of a
+    table takes over; streams of earlier ones stay listed, since their packets came before it."""
     out: dict[int, dict] = {}
-    for s in sections(packets[pids == 0]):
-        if s[0] == 0:
-            for i in range(8, len(s) - 4, 4):
-                if number := s[i] << 8 | s[i + 1]:
-                    out[number] = {"pmt": (s[i + 2] & 31) << 8 | s[i + 3], "pcr": None, "streams": {}}
+    maps: dict[int, list[int]] = {}
+    for s in applied(packets[pids == 0], 0):
+        for i in range(8, len(s) - 4, 4):
+            if number := s[i] << 8 | s[i + 1]:
+                pid = (s[i + 2] & 31) << 8 | s[i + 3]
+                out.setdefault(number, {"pcr": None, "version": None, "streams": {}})["pmt"] = pid
+                if pid not in maps.setdefault(number, []):
+                    maps[number].append(pid)
     for number, program in out.items():
-        for s in sections(packets[pids == program["pmt"]]):
-            if s[0] != 2 or s[3] << 8 | s[4] != number:
-                continue
-            program["pcr"] = (s[8] & 31) << 8 | s[9]
-            i = 12 + ((s[10] & 15) << 8 | s[11])
-            while i + 5 <= len(s) - 4:
-                program["streams"][(s[i + 1] & 31) << 8 | s[i + 2]] = s[i]
-                i += 5 + ((s[i + 3] & 15) << 8 | s[i + 4])
+        for pid in maps[number]:
+            for s in applied(packets[pids == pid], 2):
+                if s[3] << 8 | s[4] != number:
+                    continue
+                program["version"], program["pcr"] = s[5] >> 1 & 31, (s[8] & 31) << 8 | s[9]
+                i = 12 + ((s[10] & 15) << 8 | s[11])
+                while i + 5 <= len(s) - 4:
+                    program["streams"][(s[i + 1] & 31) << 8 | s[i + 2]] = s[i]
+                    i += 5 + ((s[i + 3] & 15) << 8 | s[i + 4])
     return out
 
 
@@ -230,27 +251,38 @@ def feature(found: dict) -> str:
     return ";".join(out)
 
 
-UNIT_SCHEMA = "pid int, stream_type int, pts long, dts long, random_access boolean, data binary"
-RESULT_SCHEMA = f"packets long, skipped long, continuity_errors long, feature string, units array<struct<{UNIT_SCHEMA.replace(' int', ':int').replace(' long', ':long').replace(' boolean', ':boolean').replace(' binary', ':binary')}>>"
+RESULT_SCHEMA = "packets long, skipped long, continuity_errors long, feature string, units array<struct<pid:int,stream_type:int,pts:long,dts:long,random_access:boolean,data:binary>>"
+UNIT_TYPES = {"pid": pa.int32(), "stream_type": pa.int32(), "pts": pa.int64(), "dts": pa.int64(), "random_access": pa.bool_(), "data": pa.binary()}
 
 
 def demux_column(df: DataFrame, bytes_col: str, id_col: str) -> DataFrame:
-    """(id, packets, skipped, continuity_errors, feature, units) of a column that holds transport streams."""
-    rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{bytes_col}`").cast("binary").alias("_data"))
+    """(id, packets, skipped, continuity_errors, feature, units) of a column that holds transport streams: a
+    row for each row, equal ones for equal values; a null, an empty value or one without packets has no
+    unit. Values are taken in runs of bounded bytes, or one by one where they are longer."""
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{bytes_col}`").cast("binary").alias("_data"))
 
     def run(batches):
         for batch in batches:
-            for i, value in zip(batch.column(0), batch.column(1), strict=True):
-                found = demux(value.as_py())
-                kinds = {pid: kind for p in found["programs"].values() for pid, kind in p["streams"].items()}
-                units = [{"pid": pid, "stream_type": kinds[pid], "pts": u[0], "dts": u[1], "random_access": u[2], "data": u[3]} for pid, us in sorted(found["units"].items()) for u in us]
-                yield pa.RecordBatch.from_pylist([{"id": i.as_py(), "packets": found["packets"], "skipped": found["skipped"], "continuity_errors": found["errors"], "feature": feature(found), "units": units}], schema=schema)
-
-    schema = pa.schema(
-        [("id", pa.int64()), ("packets", pa.int64()), ("skipped", pa.int64()), ("continuity_errors", pa.int64()), ("feature", pa.string())]
-        + [("units", pa.list_(pa.struct([("pid", pa.int32()), ("stream_type", pa.int32()), ("pts", pa.int64()), ("dts", pa.int64()), ("random_access", pa.bool_()), ("data", pa.binary())])))]
-    )
-    return rows.withColumn("_id", F.col("_id").cast("long")).mapInArrow(run, f"id long, {RESULT_SCHEMA}")
+            for a, b in slices(batch.column(1)):
+                own, ends = batch.slice(a, b), [0]
+                units: dict[str, list] = {k: [] for k in UNIT_TYPES}
+                head: list[list] = [[], [], [], []]
+                for value in own.column(1):
+                    found = demux(value.as_py())
+                    kinds = {pid: kind for p in found["programs"].values() for pid, kind in p["streams"].items()}
+                    for pid, held in sorted(found["units"].items()):
+                        for u in held:
+                            for to, v in zip(units.values(), (pid, kinds[pid], *u), strict=True):
+                                to.append(v)
+                    ends.append(len(units["pid"]))
+                    for to, v in zip(head, (found["packets"], found["skipped"], found["errors"], feature(found)), strict=True):
+                        to.append(v)
+                flat = pa.StructArray.from_arrays([pa.array(v, UNIT_TYPES[k]) for k, v in units.items()], names=list(UNIT_TYPES))
+                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+                columns = [own.column(0), *(pa.array(v, pa.int64()) for v in head[:3]), pa.array(head[3], pa.string()), listed]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "packets", "skipped", "continuity_errors", "feature", "units"])
+
+    return rows.mapInArrow(run, f"id long, {RESULT_SCHEMA}")
 
 
 def payload(raw: bytes) -> bytes:

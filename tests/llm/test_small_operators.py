@@ -377,6 +377,50 @@ def test_sections_over_packets():
     assert lost[1]["streams"] == {} and set(lost[3]["streams"]) == {0x401}
 
 
+def by_hand(head, body):
+    return bytes.fromhex(head) + body + b"\xff" * (188 - len(bytes.fromhex(head)) - len(body))
+
+
+PAT_BY_HAND = bytes.fromhex("0000b00d0001c100000001f0002ab104b2")  # program 1 at PID 0x1000
+PMT_BY_HAND = bytes.fromhex("0002b0170001c10000e100f0001be100f0000fe101f0002f44b99b")  # H.264 at 0x100, which has the clock, AAC at 0x101
+
+
+def test_a_stream_written_by_hand():
+    video = bytes.fromhex("000001e00000808005210007d861") + bytes(range(100))
+    audio = bytes.fromhex("000001c0000d8080052100075f47") + bytes(5)
+    room = 188 - 4 - 8 - len(video)
+    first = bytes.fromhex("47410030") + bytes([7 + room, 0x50]) + bytes(6) + b"\xff" * room + video
+    second = bytes.fromhex("47410130") + bytes([183 - len(audio), 0]) + b"\xff" * (182 - len(audio)) + audio
+    media = by_hand("47400010", PAT_BY_HAND) + by_hand("47500010", PMT_BY_HAND) + first + second
+    assert len(media) == 4 * 188
+    got = transport.demux(media)
+    assert got["programs"] == {1: {"pcr": 0x100, "version": 0, "streams": {0x100: 0x1B, 0x101: 0x0F}, "pmt": 0x1000}}
+    assert got["units"] == {0x100: [(126000, 126000, True, bytes(range(100)))], 0x101: [(transport.read_stamp(bytes.fromhex("2100075f47")), transport.read_stamp(bytes.fromhex("2100075f47")), False, bytes(5))]}
+    assert got["errors"] == got["skipped"] == 0
+
+
+def test_versions_of_tables():
+    def table(version, current, pids):
+        body = (0xE000 | 0x200).to_bytes(2, "big") + b"\xf0\x00" + b"".join(b"\x06" + (0xE000 | p).to_bytes(2, "big") + b"\xf0\x00" for p in pids)
+        packed = bytes([2]) + (0xB000 | (len(body) + 9)).to_bytes(2, "big") + b"\x00\x01" + bytes([0xC0 | version << 1 | current, 0, 0]) + body
+        return packed + transport.crc_mpeg(packed).to_bytes(4, "big")
+
+    pat = section(0, 1, b"\x00\x01" + (0xE000 | 0x100).to_bytes(2, "big"))
+    media = spread(0, [pat]) + spread(0x100, [table(0, 1, [0x200]), table(0, 1, [0x200]), table(1, 0, [0x300]), table(2, 1, [0x200, 0x201])])
+    got = transport.demux(media)["programs"][1]
+    assert got["version"] == 2 and set(got["streams"]) == {0x200, 0x201}
+
+
+def test_streams_awkward(spark):
+    df = spark.createDataFrame([(1, None), (2, b""), (3, b"\x47"), (None, transport.mux(bytes(64))), (4, transport.mux(bytes(2_000_000))), (4, transport.mux(bytes(2_000_000)))], "doc_id long, units binary")
+    got = transport.demux_column(df, "units", "doc_id").toPandas()
+    assert len(got) == 6 and got[got.id.isin([1, 2, 3])].units.map(len).sum() == 0 and got[got.id == 4].units.map(len).tolist() == [489, 489]
+    assert transport.demux_column(df.limit(0), "units", "doc_id").count() == 0
+    stored = transport.store_digests(awkward(spark)).toPandas()
+    assert len(stored) == 13 and stored[stored.doc_id == 2].iloc[0].payload_bytes == 64 and stored.groupby("n_bytes").media_sha256.nunique().max() >= 1
+    assert transport.store_digests(empty(spark)).count() == 0
+
+
 def test_time_stamps_of_33_bits():
     for ticks in (0, 1, 90_000, (1 << 33) - 1, 0x155555555):
         assert transport.read_stamp(transport.stamp(2, ticks)) == ticks
