@@ -7,15 +7,19 @@
    first shared - match + 1 postings are kept, since two classes that agree on ``match`` coordinates meet
    in both prefixes. Skip: the frequent values, behind the prefix, are never merged.
 3. Lists of at most ``SMALL`` classes give pairs, and their collisions are counted on whole signatures.
-   Longer lists are not expanded: those that share classes form one group, cut into blocks, and each pair
-   of blocks is compared in one task by counting shared shingles; it returns spanning links only.
+   Longer lists are not expanded: those that share classes form one group, cut into blocks. A task
+   compares a block within and with a few pivots of the group by counting shared shingles; it returns
+   spanning links only. What then hangs outside the largest part of its group is compared with all of it.
 4. Links are confirmed on the full sets, and connected components give each document its class.
 
 ``match`` lies 4.5 standard deviations below what the similarity threshold leads one to expect, so a pair
 at the threshold is missed with a probability below 1e-5; no list, group or number of partners is capped.
 
 Documents without words have an empty set and link with nothing. A null id counts after all others as a
-smallest id. Repeated rows have equal sets. Other columns are ignored. An empty table gives an empty result.
+smallest id. Repeated rows have equal sets. Of equal texts with one id each row is listed. A very long text
+is taken apart whole, by itself. Ids are whole numbers; a table with others raises. Columns other than id and
+text are ignored, whatever their names; ``representatives`` gives them back. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import materialise, row_key, slices, split_words, take_copies
@@ -35,7 +39,8 @@ from siltstone.operators.components import components
 
 COORDINATES = 64
 SMALL = 48
-BLOCK = 1500
+#: Classes and bytes of text of a block, and the members of a group that all its blocks are compared with.
+BLOCK, BLOCK_BYTES, PIVOTS = 500, 16 << 20, 4
 #: Texts that are taken apart at a time: their arrays need about ten times that.
 SLICE_BYTES = 6 << 20
 _RANDOM = np.random.default_rng(6)
@@ -123,58 +128,100 @@ def links_of_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int)
     return pairs.join(a, "a").join(b, "b").select("a", "b", "_ta", "_tb").mapInArrow(run, "a long, b long")
 
 
-def links_of_blocks(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, within: bool) -> list[tuple[int, int]]:
-    """Spanning links among the sets of one block, or between the two blocks.
-
-    Sets are taken by size. Each counts what it shares with those before it through posting lists; a set
-    that is known to hang together with all that it could meet is not counted again.
-    """
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(nodes[i])))
-    sizes = np.array([len(sets[i]) for i in order])
-    flat = np.concatenate([sets[i] for i in order])
-    names, ids = np.unique(flat, return_inverse=True)
-    ends = np.cumsum([0, *sizes])
-    rank = np.repeat(np.arange(len(order)), sizes)
-    by = np.argsort(ids, kind="stable")
-    posted, bounds = rank[by], np.searchsorted(ids[by], np.arange(len(names) + 1))
-    sides = side[order]
-    root = np.arange(len(order))
-    out = []
-    for i in range(1, len(order)):
-        least = np.searchsorted(sizes, -(-percent * sizes[i] // 100))
-        others = np.arange(least, i)
-        if not within:
-            others = others[sides[others] != sides[i]]
-        if not len(others) or (root[others] == root[i]).all():
+class Postings:
+    """Which of the sets hold each shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        by = np.argsort(ids, kind="stable")
+        self.posted = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[by]
+        self.bounds, self.n = np.searchsorted(ids[by], np.arange(len(self.names) + 1)), len(sets)
+
+    def shared(self, own: np.ndarray) -> np.ndarray:
+        """How many shingles of ``own`` each set has."""
+        at = np.minimum(np.searchsorted(self.names, own), len(self.names) - 1)
+        at = at[self.names[at] == own]
+        lows, lengths = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        places = np.arange(lengths.sum()) + np.repeat(lows - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
+        return np.bincount(self.posted[places], minlength=self.n)
+
+
+def links_of_blocks(nodes: np.ndarray, sets: list[np.ndarray], root: np.ndarray, percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning links among the sets of one block, or between those ``left`` and the others.
+
+    Sets are taken by size, so that those that can be similar enough stand together. One that is known
+    (``root``: what it hangs together with) to hang together with all that it could meet is not counted."""
+    by = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(nodes[i])))
+    posted = by if left is None else [i for i in by if left[i]]
+    if not posted:
+        return []
+    index, sizes = Postings([sets[i] for i in posted]), np.array([len(sets[i]) for i in posted])
+    root, at, out = np.unique(root, return_inverse=True)[1], np.array(posted), []
+    for place, i in enumerate(by if left is None else [i for i in by if not left[i]]):
+        own = len(sets[i])
+        low = np.searchsorted(sizes, -(-percent * own // 100))
+        high = place if left is None else np.searchsorted(sizes, 100 * own // percent, "right")
+        others = np.arange(low, high)
+        if not len(others) or (root[at[others]] == root[i]).all():
             continue
-        own = ids[ends[i] : ends[i + 1]]
-        lows, lengths = bounds[own], bounds[own + 1] - bounds[own]
-        at = np.arange(lengths.sum()) + np.repeat(lows - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-        shared = np.bincount(posted[at], minlength=len(order))[others]
-        for k in others[100 * shared >= percent * (sizes[others] + sizes[i] - shared)]:
+        shared = index.shared(sets[i])[others]
+        for k in at[others[100 * shared >= percent * (sizes[others] + own - shared)]]:
             if root[k] != root[i]:
                 root[root == root[i]] = root[k]
-                out.append((int(nodes[order[k]]), int(nodes[order[i]])))
+                out.append((int(nodes[k]), int(nodes[i])))
     return out
 
 
+def blocks_of(block: int) -> Column:
+    """Blocks by group that hold ``block`` rows and BLOCK_BYTES of text, more only by chance or by one long text."""
+    return F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("_bytes") / BLOCK_BYTES)).cast("long")
+
+
 def links_of_groups(long: DataFrame, texts: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """``long``: (token, node) of the long lists. Lists with a class in common form one group."""
+    """``long``: (token, node) of the long lists. Lists with a class in common form one group.
+
+    First, each block of a group is compared within and with the group's PIVOTS, a few members that go to
+    all its blocks: work that grows with the group. Copies of one text hang together by then. What is left
+    outside the largest part of a group is compared with the whole group, block by block."""
     first = long.groupBy("node").agg(F.min("token").alias("b"))
     tokens = components(long.join(first, "node").select(F.col("token").alias("a"), "b"))
     members = first.join(tokens, first["b"] == tokens["node"]).select(first["node"], F.col("root").alias("group"))
-    members = materialise(members, "members")
-    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / block).cast("long").alias("_n"))
-    placed = members.join(sizes, "group").withColumn("_b", F.pmod(F.xxhash64("node"), "_n"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
-    dealt = placed.withColumn("_o", other).select("group", "node", "_b", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi"))
-
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+    members = materialise(members.join(texts.select("node", F.octet_length("_text").alias("_bytes")), "node"), "members")
+    if members.isEmpty():
+        return members.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node"))["node"] for i in range(PIVOTS)]
+    groups = members.groupBy("group").agg(blocks_of(block).alias("_n"), F.array_distinct(F.array(*least)).alias("_pivots"))
+    groups = materialise(groups, "groups")
+    dealt = members.join(groups.select("group", "_n"), "group").select("group", F.pmod(F.xxhash64("node"), "_n").alias("_b"), "node")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_b")
+    pivots = groups.filter("_n > 1").select("group", "_pivots", every).select("group", "_b", F.explode("_pivots").alias("node"))
+
+    def within(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.drop_duplicates("node")
+        sets = list(shingle_sets(pa.array(own["_text"], pa.string()), width))
+        return pd.DataFrame(links_of_blocks(own["node"].to_numpy(), sets, np.arange(len(own)), percent), columns=["a", "b"], dtype="int64")
+
+    near = dealt.union(pivots).join(texts, "node").groupBy("group", "_b").applyInPandas(within, "a long, b long")
+    near = materialise(near, "near_links")
+
+    hung = components(near).select("node", "root")
+    placed = members.join(hung, "node", "left").select("group", "node", "_bytes", F.coalesce("root", "node").alias("root"))
+    placed = materialise(placed, "placed")
+    largest = placed.groupBy("group", "root").agg(F.count("*").alias("n")).groupBy("group").agg(F.max(F.struct("n", "root"))["root"].alias("_main"))
+    rest = materialise(placed.join(largest, "group").filter("root <> _main").drop("_main"), "rest")
+    if rest.isEmpty():
+        return near
+    open_ = rest.groupBy("group").agg(blocks_of(block).alias("_m")).join(groups.select("group", "_n"), "group")
+    held = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_x")
+    ours = rest.join(open_, "group").select("group", F.pmod(F.xxhash64("node"), "_m").alias("_x"), every, "node", "root", F.lit(True).alias("_left"))
+    theirs = placed.join(open_, "group").select("group", held, F.pmod(F.xxhash64("node"), "_n").alias("_b"), "node", "root", F.lit(False).alias("_left"))
+
+    def between(own: pd.DataFrame) -> pd.DataFrame:
         sets = list(shingle_sets(pa.array(own["_text"], pa.string()), width))
-        found = links_of_blocks(own["node"].to_numpy(), sets, own["_b"].to_numpy(), percent, bool(key[1] == key[2]))
+        found = links_of_blocks(own["node"].to_numpy(), sets, own["root"].to_numpy(), percent, own["_left"].to_numpy())
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.join(texts, "node").groupBy("group", "_lo", "_hi").applyInPandas(run, "a long, b long")
+    return near.union(ours.unionByName(theirs).join(texts, "node").groupBy("group", "_x", "_b").applyInPandas(between, "a long, b long"))
 
 
 def links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:

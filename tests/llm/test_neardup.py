@@ -75,15 +75,31 @@ def test_long_lists_go_through_blocks(spark, monkeypatch):
     assert got == want and len({c for _, c in got.values()}) > 20
 
 
+def test_groups_of_many_parts(spark, monkeypatch):
+    """Long lists of texts that share passages but are no copies: parts that no pivot brings together."""
+    monkeypatch.setattr(neardup, "SMALL", 3)
+    draw, shared = random.Random(6), words(1, 70, 5000)
+    texts = []
+    for f in range(9):
+        base = shared + " " + words(50 + f, 30, 5000)
+        texts += [base] + [edited(base, draw, draw.randrange(0, 4)) for _ in range(9)]
+    rows = list(enumerate(texts))
+    want = brute(rows, 3, 85)
+    inner = neardup.links_of_groups
+    monkeypatch.setattr(neardup, "links_of_groups", lambda *a: inner(*a, block=7))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=3, percent=85).collect()}
+    assert got == want and len({c for _, c in got.values()}) > 5
+
+
 def test_blocks_return_spanning_links():
     sets = [np.arange(100, dtype=np.uint64) + np.uint64(k) for k in range(0, 40, 2)]
     nodes, side = np.arange(20), np.arange(20) % 2
-    for within in (True, False):
-        found = neardup.links_of_blocks(nodes, sets, side, 85, within)
-        allowed = [(i, k) for i in range(20) for k in range(i) if (within or side[i] != side[k]) and len(np.intersect1d(sets[i], sets[k])) * 100 >= 85 * len(np.union1d(sets[i], sets[k]))]
-        label = list(range(20))
-        reach = lambda links: _classes(20, links)
-        assert reach(found) == reach(allowed) and len(found) < 20 and label
+    reach = lambda links: _classes(20, links)
+    for left in (None, side == 0):
+        found = neardup.links_of_blocks(nodes, sets, np.arange(20), 85, left)
+        allowed = [(i, k) for i in range(20) for k in range(i) if (left is None or side[i] != side[k]) and len(np.intersect1d(sets[i], sets[k])) * 100 >= 85 * len(np.union1d(sets[i], sets[k]))]
+        assert reach(found) == reach(allowed) and len(found) < 20
+        assert neardup.links_of_blocks(nodes, sets, np.zeros(20), 85, left) == []
 
 
 def _classes(n, links):
