@@ -1,37 +1,34 @@
 """Document fingerprints by Order MinHash (Marcais et al. 2019), with DataFrame functions only.
 
 A text's k-mers are its runs of ``K`` words (fewer words are one k-mer), each numbered by occurrence, so
-that repeats count. A hash of (k-mer, occurrence) deals them into ``BINS`` coordinates, and each coordinate
-selects the ``PICKED`` k-mers of minimal hash in it, puts them back in text order and hashes that tuple:
-moving words about changes it even where the set of k-mers stays. One hash and one sort serve all
-coordinates, so the cost does not grow with their number. Likeness is the share of the coordinates used by
-either text in which the tuples agree.
+that repeats count. Each of ``BINS`` hashes goes over all (k-mer, occurrence), selects the ``PICKED`` of
+minimal hash, puts them back in text order and hashes that tuple: moving words about changes it even where
+the set of k-mers stays. Likeness is the share of the hashes in which the tuples agree.
 
-``order_minhash`` is the scheme as published: each of ``BINS`` hashes goes over all (k-mer, occurrence) and
-selects its own ``PICKED`` minima, so that every coordinate is in use and has a pair to put in order from two
-k-mers on. ``fingerprint`` deals instead: in texts of few words most of its coordinates hold one k-mer, which
-carries no order. The registered query uses the former; entries of both have one layout.
-
-All of it is built-in functions over arrays of one row. The successor in id order comes from one exchange:
-ids are cut into ranges by quantiles, each range is ordered on its own, and a copy of its first row is
-dealt to the range before it; at most ``MAX_RANGES`` boundaries come to the driver.
+All of it is built-in functions over arrays of one row. The successor in id order comes from one exchange
+of the texts: ids are cut into ranges, each range is ordered on its own, and a copy of its first row is
+dealt to the range before it. Ranges grow in number with the rows: CUTS quantiles come to the driver, ids
+between two of them are cut evenly, and an id that many rows have is cut by the hash of the text. The table
+of the ranges' first rows, at most two for each of MAX_RANGES, is all that is broadcast.
 
 A null text is empty; an empty text has one empty k-mer, and two of them are alike (1.0). Null ids come
-last; rows with equal ids go by the hash of the text. Repeated rows have equal fingerprints. Rows with one
-id stay in one range. Other columns are ignored. An empty table gives an empty result.
+last; rows with equal ids, or null ones, go by the hash of the text. Repeated rows have equal fingerprints;
+those with one id stay in one range. Of a very long text all k-mers take part. Ids are whole numbers; a
+table with others raises. Other columns are ignored, whatever their names. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.llm.common import materialise
+
 K, PICKED, BINS = 3, 2, 64
-ROWS_A_RANGE, MAX_RANGES = 400, 4096
-#: An entry of a fingerprint has 32 bits, the coordinate in the highest ones.
+ROWS_A_RANGE, MAX_RANGES, CUTS = 400, 1 << 18, 512
+#: An entry of a fingerprint has 32 bits, the number of its hash in the highest ones.
 #: A packed long holds a hash above and a place in the text in its PLACE lowest bits.
 PLACE = 28
 ID = (1 << (64 - PLACE)) - 1
@@ -80,66 +77,65 @@ def order_minhash(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in keep], out)
 
 
-def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``, an array<bigint> with an entry for each coordinate in use, to a frame with the text column ``text``."""
-    kmers, starts, items, picks = (f"_{name}_{out}" for name in ("kmers", "starts", "items", "picks"))
-    tupled = ", ".join(f"if(shiftrightunsigned(get({picks}, i + {k}), {BIN_SHIFT}) = shiftrightunsigned(get({picks}, i), {BIN_SHIFT}), get({picks}, i + {k}) & {(1 << 31) - 1}, null)" for k in range(PICKED))
-    keep = [c for c in df.columns]
-    steps = (
-        *numbered_kmers(text, out),
-        # in the order of the hash that deals and selects
-        (items, f"sort_array({numbered(kmers, starts)})"),
-        # the minimal ones of each coordinate, in text order: (coordinate, place, 31 bits of the hash)
-        (picks, f"sort_array(transform(filter({items}, (x, i) -> i < {PICKED} or shiftrightunsigned(x, {BIN_SHIFT}) <> shiftrightunsigned(get({items}, i - {PICKED}), {BIN_SHIFT})), x -> shiftleft(shiftrightunsigned(x, {BIN_SHIFT}), {BIN_SHIFT}) | shiftleft(x & {LOW}, 31) | (shiftright(x, {PLACE}) & {(1 << 31) - 1})))"),
-        (out, f"transform(filter(sequence(0, size({picks}) - 1), i -> i = 0 or shiftrightunsigned(get({picks}, i), {BIN_SHIFT}) <> shiftrightunsigned(get({picks}, i - 1), {BIN_SHIFT})), i -> shiftleft(shiftrightunsigned(get({picks}, i), {BIN_SHIFT}), {BIN_SHIFT - 32}) | shiftrightunsigned(xxhash64({tupled}), {96 - BIN_SHIFT}))"),
-    )
-    for name, how in steps:
-        df = df.withColumn(name, F.expr(how))
-    return df.select(*[F.col(f"`{c}`") for c in keep], out)
-
-
 def likeness(a: str, b: str) -> Column:
-    used = f"size(array_union(transform({a}, x -> shiftrightunsigned(x, {BIN_SHIFT - 32})), transform({b}, x -> shiftrightunsigned(x, {BIN_SHIFT - 32}))))"
-    return F.expr(f"size(array_intersect({a}, {b})) / cast({used} as double)")
+    return F.size(F.array_intersect(a, b)) / F.lit(float(BINS))
 
 
 def as_text(a: str) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 8, "0")), "")
 
 
-def with_next(df: DataFrame, rows_a_range: int = ROWS_A_RANGE, max_ranges: int = MAX_RANGES) -> tuple[DataFrame, Window]:
+def range_of(id_: Column, hash_: Column, cuts: list[int], least: int, most: int, ranges: int) -> Column:
+    """A number that never falls from a row to the next in order of id (null last), then hash.
+
+    Between two cuts ids are dealt evenly to pieces; a cut that comes several times among the quantiles is
+    an id of many rows, whose own rows are dealt by their hash, as those without an id are."""
+    bounds = sorted(set(cuts))
+    hot = [b for b in bounds if cuts.count(b) > 1]
+    pieces = max(1, -(-ranges // (len(cuts) + 1)))
+    held = F.array(*[F.lit(b).cast("bigint") for b in bounds]) if bounds else F.array().cast("array<bigint>")
+    at = F.size(F.filter(held, lambda b: b <= id_))
+    below = F.get(F.array(*[F.lit(float(b)) for b in [least, *bounds]]), at)
+    above = F.get(F.array(*[F.lit(float(b)) for b in [*bounds, most]]), at)
+    evenly = F.floor((id_.cast("double") - below) / F.greatest(above - below, F.lit(1.0)) * pieces).cast("long")
+    by_hash = F.floor((hash_.cast("double") / 2.0**64 + 0.5) * F.lit(pieces * max([1, *map(cuts.count, hot)]))).cast("long")
+    width = pieces * max([1, *map(cuts.count, hot)])
+    clipped = lambda c, n: F.greatest(F.lit(0).cast("long"), F.least(c, F.lit(n - 1).cast("long")))
+    own = F.when(id_.isin(*hot), at * 2 * width + clipped(by_hash, width)) if hot else F.when(F.lit(False), F.lit(0).cast("long"))
+    return F.when(id_.isNull(), F.lit(2 * (len(bounds) + 1) * width).cast("long") + clipped(by_hash, width)).otherwise(F.coalesce(own, (at * 2 + 1) * width + clipped(evenly, pieces))).cast("long")
+
+
+def with_next(df: DataFrame, rows_a_range: int = ROWS_A_RANGE, max_ranges: int = MAX_RANGES, most_cuts: int = CUTS) -> tuple[DataFrame, Window]:
     """``df`` (_id, _text) with its range, copies of first rows marked _copy, and the window that orders a range."""
-    ids = df.select("_id")
-    n = ids.count()
+    n, least, most = df.agg(F.count("*"), F.min("_id"), F.max("_id")).first()
     ranges = min(max_ranges, max(1, -(-n // rows_a_range)))
-    cuts = ids.agg(F.percentile_approx("_id", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else None
-    bounds = sorted(set(cuts or []))
-    held = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    place = F.when(F.col("_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(held, lambda b: b <= F.col("_id")))).cast("int")
-    first = dict(ids.withColumn("_range", place).groupBy("_range").agg(F.min("_id")).collect())  # at most max_ranges + 1 rows
-    order = sorted(first)
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    size = len(bounds) + 2
-    least = F.array(*[F.lit(first.get(i)).cast("bigint") for i in range(size)])
-    prior = F.array(*[F.lit(before.get(i, 0)) for i in range(size)])
-    own = df.withColumn("_range", place)
-    is_first = F.col("_id").eqNullSafe(F.get(least, F.col("_range")))
-    both = F.when(is_first, F.array(F.struct(F.col("_range"), F.lit(False).alias("_copy")), F.struct(F.get(prior, F.col("_range")).alias("_range"), F.lit(True).alias("_copy"))))
-    dealt = own.withColumn("_to", F.explode(both.otherwise(F.array(F.struct(F.col("_range"), F.lit(False).alias("_copy"))))))
-    dealt = dealt.select("_id", "_text", "_to.*", F.xxhash64("_text").alias("_hash"))
+    parts = min(ranges, most_cuts + 1)
+    cuts = df.agg(F.percentile_approx("_id", [k / parts for k in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
+    hashed = df.withColumn("_hash", F.xxhash64("_text"))
+    own = hashed.withColumn("_range", range_of(F.col("_id"), F.col("_hash"), list(cuts or []), least or 0, (most or 0) + 1, ranges))
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash")
+    first = materialise(own.groupBy("_range").agg(F.min(order).alias("_first")), "firsts")
+    # the range before, in a circle: over the ranges, of which there are no more than about two for each of max_ranges
+    around = Window.orderBy("_range")
+    last = first.agg(F.max("_range")).first()[0]
+    prior = first.select("_range", "_first", F.coalesce(F.lag("_range").over(around), F.lit(last).cast("long")).alias("_prior"))
+    joined = own.join(F.broadcast(materialise(prior, "ranges")), "_range")
+    stays = F.struct(F.col("_range"), F.lit(False).alias("_copy"))
+    both = F.when(order.eqNullSafe(F.col("_first")), F.array(stays, F.struct(F.col("_prior").alias("_range"), F.lit(True).alias("_copy"))))
+    dealt = joined.withColumn("_to", F.explode(F.coalesce(both, F.array(stays)))).select("_id", "_text", "_hash", "_to.*")
     return dealt, Window.partitionBy("_range").orderBy("_copy", F.col("_id").asc_nulls_last(), "_hash")
 
 
-def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: Callable[[DataFrame, str, str], DataFrame] = fingerprint) -> DataFrame:
+def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text (its latter half replaced by as much of the next
-    document's beginning) and their likeness. ``sketch``: ``fingerprint`` or ``order_minhash``."""
+    document's beginning) and their likeness."""
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
     dealt, window = with_next(docs)
     rows = dealt.withColumn("_next", F.coalesce(F.lead("_text").over(window), F.lit(""))).withColumn("_n", F.char_length("_text"))
     half = F.floor(F.col("_n") / 2).cast("int")
     edited = F.concat(F.substring("_text", F.lit(1), F.col("_n") - half), F.substring("_next", F.lit(1), half))
     rows = rows.withColumn("_edited", edited).drop("_next")
-    rows = sketch(sketch(rows, "_text", "_own"), "_edited", "_other")
+    rows = order_minhash(order_minhash(rows, "_text", "_own"), "_edited", "_other")
     rows = rows.select("_id", "_range", "_copy", "_hash", "_n", "_own", "_other", F.sha2("_edited", 256).alias("edited_sha256"))
     rows = rows.withColumn("_after", F.lead("_own").over(window)).filter("not _copy")
     return rows.select(
