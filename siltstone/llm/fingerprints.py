@@ -3,7 +3,9 @@
 A text's k-mers are its runs of ``K`` words (fewer words are one k-mer), each numbered by occurrence, so
 that repeats count. Each of ``BINS`` hashes goes over all (k-mer, occurrence), selects the ``PICKED`` of
 minimal hash, puts them back in text order and hashes that tuple: moving words about changes it even where
-the set of k-mers stays. Likeness is the share of the hashes in which the tuples agree.
+the set of k-mers stays. Likeness is the share of the hashes in which the tuples agree. BASES hashes are
+computed for each k-mer, and each gives several orders by turning its highest bits, so that each order
+begins in another part of its range: in any of them every k-mer is as likely to be the least as any other.
 
 All of it is built-in functions over arrays of one row. The successor in id order comes from one exchange
 of the texts: ids are cut into ranges, each range is ordered on its own, and a copy of its first row is
@@ -26,7 +28,8 @@ from pyspark.sql.window import Window
 
 from siltstone.llm.common import materialise
 
-K, PICKED, BINS = 3, 2, 64
+#: A hash is one of BASES hashes of the numbered k-mer with a pattern of its own on the bits from ORDER_SHIFT on.
+K, PICKED, BINS, BASES, ORDER_SHIFT = 3, 2, 64, 8, 61
 ROWS_A_RANGE, MAX_RANGES, CUTS = 400, 1 << 18, 512
 #: An entry of a fingerprint has 32 bits, the number of its hash in the highest ones.
 #: A packed long holds a hash above and a place in the text in its PLACE lowest bits.
@@ -60,17 +63,20 @@ def order_minhash(df: DataFrame, text: str, out: str) -> DataFrame:
     kmers, starts, ids = (f"_{name}_{out}" for name in ("kmers", "starts", "ids"))
     ordered = "if(array_position(t, a) < array_position(t, b), xxhash64(a, b), xxhash64(b, a))"
     pair = f"get(transform(array(array_min(t)), a -> get(transform(array(array_min(array_remove(t, a))), b -> {ordered}), 0)), 0)"
-    # hashes below ``c`` are expected to be LIKELY; where they are too few, all are compared: minima do not depend on it
-    few = f"transform(array(filter(d, x -> xxhash64(x, i) < c)), s -> transform(if(size(s) < {PICKED}, d, s), x -> xxhash64(x, i)))"
-    chosen = f"get(transform({few}, t -> {pair}), 0)"
-    entries = f"transform(sequence(0, {BINS - 1}), i -> shiftleft(cast(i as bigint), {BIN_SHIFT - 32}) | shiftrightunsigned({chosen}, {96 - BIN_SHIFT}))"
+    # LIKELY of the hashes that an order begins with are expected below ``c``; where there are too few, all are
+    # compared: minima do not depend on it. The highest bit is turned too, as longs have a sign.
+    own = f"transform(array(filter(f, x -> shiftrightunsigned(x, {ORDER_SHIFT}) = i)), s -> transform(if(size(s) < {PICKED}, h, s), x -> x ^ shiftleft(cast(i ^ {BINS // BASES // 2} as bigint), {ORDER_SHIFT})))"
+    chosen = f"get(transform({own}, t -> {pair}), 0)"
+    entry = f"shiftleft(cast({BINS // BASES} * j + i as bigint), {BIN_SHIFT - 32}) | shiftrightunsigned({chosen}, {96 - BIN_SHIFT})"
+    low = f"get(transform(array(filter(h, x -> (x & {(1 << ORDER_SHIFT) - 1}) < c)), f -> transform(sequence(0, {BINS // BASES - 1}), i -> {entry})), 0)"
+    entries = f"flatten(transform(sequence(0, {BASES - 1}), j -> get(transform(array(transform(d, x -> xxhash64(x, j))), h -> {low}), 0)))"
     keep = [c for c in df.columns]
     steps = (
         *numbered_kmers(text, out),
         # in text order
         (ids, f"transform(sort_array(transform({numbered(kmers, starts)}, x -> shiftleft(x & {LOW}, {64 - PLACE}) | shiftrightunsigned(x, {PLACE}))), x -> x & {ID})"),
         # bound outside of the coordinates' lambda: the optimizer would put the array's expression into it
-        (out, f"get(transform(array({ids}), d -> get(transform(array(cast(least({LIKELY / 2**-64} / size(d) - {2.0**63}, {2.0**62}) as bigint)), c -> {entries}), 0)), 0)"),
+        (out, f"get(transform(array({ids}), d -> get(transform(array(cast(least({LIKELY * (BINS // BASES) * 2.0**ORDER_SHIFT} / size(d), {2.0**ORDER_SHIFT}) as bigint)), c -> {entries}), 0)), 0)"),
     )
     for name, how in steps:
         df = df.withColumn(name, F.expr(how))
