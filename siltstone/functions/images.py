@@ -28,11 +28,11 @@ def shrink(image: np.ndarray, rows: int, columns: int) -> np.ndarray:
 
 
 def perceptual_hash(pixels: np.ndarray) -> dict:
-    """hash (512 bits as 128 hex digits: above the mean, and rising to the right), mean tone and aspect."""
+    """hash (512 bits as 128 hex digits: above the mean, and falling to the right), mean tone and aspect."""
     g = grey(pixels)
     small, wide = shrink(g, AVERAGE, AVERAGE).round(), shrink(g, AVERAGE, AVERAGE + 1).round()
-    bits = np.concatenate([(small > small.mean()).ravel(), (wide[:, 1:] > wide[:, :-1]).ravel()])
-    return {"hash": np.packbits(bits).tobytes().hex(), "tone": int(round(g.mean())), "aspect": g.shape[1] / g.shape[0]}
+    bits = np.concatenate([(small > small.mean()).ravel(), (wide[:, :-1] > wide[:, 1:]).ravel()])
+    return {"hash": np.packbits(bits).tobytes().hex(), "tone": int(round(small.mean())), "aspect": round(g.shape[1] / max(g.shape[0], 1), 3)}
 
 
 def blurred(image: np.ndarray, sigma: tuple[float, float]) -> np.ndarray:
@@ -47,14 +47,11 @@ def blurred(image: np.ndarray, sigma: tuple[float, float]) -> np.ndarray:
 def layout(pixels: np.ndarray, boxes: Sequence) -> np.ndarray:
     """128 features of unit length: text occupancy of 8 by 8 cells, ink by 16 rows and columns, coarse blurred ink."""
     height, width = pixels.shape[:2]
-    cells = np.zeros((LAYOUT_GRID, LAYOUT_GRID))
-    for box in boxes:
-        points = np.asarray(box, float).reshape(-1, 2)
-        if len(points):
-            low, high = points.min(axis=0), points.max(axis=0)
-            x0, x1 = (int(np.clip(x / max(width, 1) * LAYOUT_GRID, 0, LAYOUT_GRID - 1)) for x in (low[0], high[0]))
-            y0, y1 = (int(np.clip(y / max(height, 1) * LAYOUT_GRID, 0, LAYOUT_GRID - 1)) for y in (low[1], high[1]))
-            cells[y0 : y1 + 1, x0 : x1 + 1] += 1
+    known = [np.asarray(box, float).reshape(-1, 2) for box in boxes if len(box)]
+    corners = np.array([[p.min(axis=0), p.max(axis=0)] for p in known]).reshape(-1, 2, 2)
+    x0, y0, x1, y1 = np.clip(corners / (max(width, 1), max(height, 1)) * LAYOUT_GRID, 0, LAYOUT_GRID - 1).astype(int).reshape(-1, 4).T[..., None]
+    at = np.arange(LAYOUT_GRID)
+    cells = ((y0 <= at) & (at <= y1)).T.astype(float) @ ((x0 <= at) & (at <= x1)).astype(float)
     ink = (grey(pixels) < INK).astype(float)
     rows, columns = shrink(ink.mean(axis=1)[:, None], LAYOUT_BANDS, 1).ravel(), shrink(ink.mean(axis=0)[None, :], 1, LAYOUT_BANDS).ravel()
     coarse = shrink(blurred(ink, (max(2, height / 80), max(2, width / 80))), *COARSE).ravel()

@@ -123,16 +123,22 @@ def totals(view: DataFrame, metrics: Sequence[str], word_only: Sequence[str] = (
     return view.agg(*out)
 
 
-def totals_text(row: dict, metrics: dict[str, str], selected: bool = False) -> str:
-    """The totals line of one ``totals`` row."""
-    parts = [f"Файлов: {row['files']}", f"Байт: {row['bytes']:,}".replace(",", " ")]
+# The words and signs of the totals line.
+TOTALS_ALL, TOTALS_SELECTED, TOTALS_FILES, TOTALS_BYTES = "Весь каталог, включая копии: ", "Выбрано: ", "Файлов: ", "Байт: "
+TOTALS_BETWEEN, TOTALS_UNKNOWN, TOTALS_INCOMPLETE, TOTALS_ESTIMATED = " · ", "—", ">", "≈"
+
+
+def totals_line(totals: DataFrame, metrics: dict[str, str], selected: bool = False) -> DataFrame:
+    """(line): the totals line of the row of ``totals``. ``metrics``: the label of each."""
+    shown = [F.concat(F.lit(TOTALS_FILES), F.col("files")), F.concat(F.lit(TOTALS_BYTES), F.translate(F.format_number("bytes", 0), ",", " "))]
     for m, label in metrics.items():
-        if not row[f"{m}_known"]:
-            parts.append(f"{label}: —")
-            continue
-        mark = (">" if row[f"{m}_incomplete"] else "") + ("≈" if row.get(f"{m}_estimated") else "")
-        parts.append(f"{label}: {mark}{row[m]} ({row[f'{m}_known']}/{row['files']})")
-    return ("Выбрано: " if selected else "Весь каталог, включая копии: ") + " · ".join(parts)
+        sign = F.when(F.col(f"{m}_incomplete"), TOTALS_INCOMPLETE).otherwise("")
+        if f"{m}_estimated" in totals.columns:
+            sign = F.concat(sign, F.when(F.col(f"{m}_estimated"), TOTALS_ESTIMATED).otherwise(""))
+        known = F.format_string("%s%d (%d/%d)", sign, F.col(m), F.col(f"{m}_known"), F.col("files"))
+        shown.append(F.concat(F.lit(f"{label}: "), F.when(F.col(f"{m}_known") > 0, known).otherwise(TOTALS_UNKNOWN)))
+    start = TOTALS_SELECTED if selected else TOTALS_ALL
+    return totals.select(F.concat(F.lit(start), F.concat_ws(TOTALS_BETWEEN, *shown)).alias("line"))
 
 
 def scope(view: DataFrame, selected: DataFrame | None) -> DataFrame:
