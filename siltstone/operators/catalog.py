@@ -19,7 +19,10 @@ def of_documents(docs: DataFrame) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, root: str, hash_files: bool = True, pattern: str | None = None) -> DataFrame:
-    """The files under ``root``. Without hashes only their metadata is read."""
+    """The files under ``root``. Without hashes only their metadata is read.
+
+    This listing has no inodes: ``identity.ino`` is 0, so ``refresh`` takes no row for a renamed one, and
+    moves are told by their hash in ``fill_hashes``. A listing with inodes can be given to ``refresh``."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(root)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
@@ -126,10 +129,26 @@ def refresh(old: DataFrame, listing: DataFrame, moves: DataFrame | None = None)
     return out
 
 
-def fill_hashes(catalog: DataFrame, hashes: DataFrame, old: DataFrame | None = None) -> DataFrame:
-    """Hashes (path, hash) for the rows without one; an equal hash in ``old`` carries note and stats over."""
-    filled = catalog.join(hashes.select("path", F.col("hash").alias("_new")), "path", "left").withColumn("hash", F.when(F.col("hash") == "", F.coalesce("_new", F.lit(""))).otherwise(F.col("hash"))).drop("_new")
-    if old is None or "note" not in old.columns:
+def fill_hashes(catalog: DataFrame, hashes: DataFrame, old: DataFrame | None = None, moves: DataFrame | None = None) -> DataFrame:
+    """Hashes (path, hash) for the rows without one. An equal hash in ``old`` carries note and stats over; a
+    completed move to a path (destination, origin, hash) with an equal hash restores its origin, also where
+    its identity is another, as after a copy to another disk. Without inodes, as in an object store, this is
+    how moves are told: ``refresh`` needs an inode."""
+    new = hashes.select("path", F.col("hash").alias("_new"))
+    filled = catalog.join(new, "path", "left").withColumn("hash", F.when(F.col("hash") == "", F.coalesce("_new", F.lit(""))).otherwise(F.col("hash"))).drop("_new")
+    known = F.col("hash") != ""
+    if moves is not None:
+        done = moves.select(F.col("destination").alias("path"), F.col("origin").alias("_origin"), F.col("hash").alias("_moved"))
+        there = known & F.col("hash").eqNullSafe(F.col("_moved"))
+        filled = filled.join(done, "path", "left").withColumn("origin", F.when(there, F.col("_origin")).otherwise(F.col("origin"))).drop("_origin", "_moved")
+    carried = [c for c in ("note", "stats") if old is not None and c in old.columns and c in catalog.columns]
+    if not carried:
         return filled
-    carried = old.select("path", F.col("hash").alias("_h"), F.col("note").alias("_note"))
-    return filled.join(carried, "path", "left").withColumn("note", F.when((F.col("hash") == F.col("_h")) & (F.col("hash") != ""), F.col("_note")).otherwise(F.col("note"))).drop("_h", "_note")
+    before = old.select("path", F.col("hash").alias("_h"), *[F.col(c).alias(f"_{c}") for c in carried])
+    same = known & F.col("hash").eqNullSafe(F.col("_h"))
+    return filled.join(before, "path", "left").withColumns({c: F.when(same, F.col(f"_{c}")).otherwise(F.col(c)) for c in carried}).drop("_h", *[f"_{c}" for c in carried])
+
+
+def without(catalog: DataFrame, plan: DataFrame) -> DataFrame:
+    """The catalog after removals (remove, ok): only what was verified is gone, a copy that failed its check stays."""
+    return catalog.join(plan.filter("ok").select(F.col("remove").alias("path")), "path", "left_anti")

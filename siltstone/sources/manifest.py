@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siltstone.functions import text as X
 
 SCHEMA_TAG = "corpus-structure-v1"
 NAMES = ("schema", "kind", "current_path", "original_path", "size", "sha256", "origin_candidates")
-SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in NAMES])
 BOM = "﻿"
 
 
@@ -46,41 +44,55 @@ def write_manifest(catalog: DataFrame, path: str, tag: str = SCHEMA_TAG) -> None
 
 
 def read_manifest(spark: SparkSession, path: str, tag: str = SCHEMA_TAG) -> DataFrame:
-    """(kind, current_path, original_path, size, sha256, origins), validated: a wrong row raises when it is read."""
-    cells = spark.read.schema(SCHEMA).option("sep", ";").option("header", True).option("quote", '"').option("escape", '"').option("enforceSchema", True).csv(path)
-    current, original = X.decode_cell(F.coalesce("current_path", F.lit(""))), X.decode_cell(F.coalesce("original_path", F.lit("")))
-    origins = F.from_json("origin_candidates", "array<string>")
-    size, hash_ = F.expr("try_cast(size AS BIGINT)"), F.coalesce("sha256", F.lit(""))
-    is_file = F.col("kind") == "file"
+    """(kind, current_path, original_path, size, sha256, origins), validated: a wrong row raises when it is read.
+
+    Columns go by their names in the header, in any order and with others among them; a missing one raises at
+    once. A size may be missing; a file without candidates has its original path as the only one. Folders
+    need a safe path and nothing else."""
+    raw = spark.read.option("sep", ";").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    held = {c.lstrip(BOM).strip('"'): F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in raw.columns}
+    if missing := [n for n in NAMES if n not in held]:
+        raise ValueError(f"manifest: no column {', '.join(missing)}")
+    cells = raw.select(*[held[n].alias(n) for n in NAMES])
+    original, hash_, listed = X.decode_cell(F.col("original_path")), F.col("sha256"), F.col("origin_candidates")
+    strings = (listed == "") | F.coalesce(F.schema_of_variant(F.try_parse_json(listed)).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
+    said = F.when(listed == "", F.array().cast("array<string>")).otherwise(F.from_json(listed, "array<string>"))
+    origins = F.when(F.size(said) > 0, said).otherwise(F.array(original))
+    size, is_file = F.expr("try_cast(size AS BIGINT)"), F.col("kind") == "file"
     problems = (
-        (~F.col("schema").eqNullSafe(tag), "unknown schema"),
-        (~F.coalesce(F.col("kind").isin("file", "directory"), F.lit(False)), "unknown kind"),
+        (F.col("schema") != tag, "unknown schema"),
+        (~F.col("kind").isin("file", "directory"), "unknown kind"),
         (~X.is_safe(original), "unsafe path"),
-        (is_file & ~X.is_safe(current), "unsafe path"),
-        (is_file & ~F.coalesce(size >= 0, F.lit(False)), "wrong size"),
-        ((hash_ != "") & ~hash_.rlike("^[0-9a-fA-F]{64}$"), "wrong hash"),
-        (origins.isNull() | F.exists(origins, lambda o: o.isNull() | ~X.is_safe(o)), "wrong origins"),
+        (is_file & (F.col("size") != "") & ~F.coalesce(size >= 0, F.lit(False)), "wrong size"),
+        (is_file & (hash_ != "") & ~hash_.rlike("^[0-9a-f]{64}$"), "wrong hash"),
+        (is_file & (~strings | F.coalesce(F.exists(said, lambda o: o.isNull() | ~X.is_safe(o)), F.lit(True))), "wrong origins"),
     )
     why = F.coalesce(*[F.when(bad, F.lit(what)) for bad, what in problems])
     checked = F.when(why.isNull(), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("manifest: "), why, F.lit(": "), original)))
-    return cells.select(checked.alias("kind"), current.alias("current_path"), original.alias("original_path"), size.alias("size"), F.lower(hash_).alias("sha256"), origins.alias("origins"))
+    return cells.select(checked.alias("kind"), X.decode_cell(F.col("current_path")).alias("current_path"), original.alias("original_path"), size.alias("size"), hash_.alias("sha256"), F.when(is_file, origins).otherwise(F.array().cast("array<string>")).alias("origins"))
 
 
 def known_origins(manifest: DataFrame) -> DataFrame:
-    """(hash, size, origins): the sorted set of origins of each content."""
+    """(hash, size, origins): the sorted set of origins of each content: the candidates where there are any,
+    else the original path."""
     files = manifest.filter("kind = 'file' and sha256 <> ''")
-    each = files.select(F.col("sha256").alias("hash"), "size", F.explode(F.array_union(F.array("original_path"), "origins")).alias("origin")).distinct()
+    candidates = F.when(F.size("origins") > 0, F.col("origins")).otherwise(F.array("original_path"))
+    each = files.select(F.col("sha256").alias("hash"), "size", F.explode(candidates).alias("origin")).distinct()
     return each.groupBy("hash", "size").agg(F.array_sort(F.collect_list("origin")).alias("origins"))
 
 
 def reconcile(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
     """The catalog with origin, origins and origin_match (matched, ambiguous, unmatched), by hash and size.
-    More than one origin leaves the current path as the origin and keeps all as candidates."""
-    found = catalog.drop("origins", "origin_match").join(known_origins(manifest), ["hash", "size"], "left")
-    n = F.coalesce(F.size("origins"), F.lit(0))
-    origin = F.when(n == 1, F.element_at("origins", 1)).when(n > 1, F.col("path")).otherwise(F.col("origin"))
+    More than one origin leaves the current path as the origin and keeps all as candidates; rows that the
+    manifest does not know keep the origins they had."""
+    before = F.col("origins") if "origins" in catalog.columns else F.lit(None).cast("array<string>")
+    rows = catalog.withColumn("_before", before).drop("origins", "origin_match")
+    known = known_origins(manifest).select(F.col("hash").alias("_hash"), F.col("size").alias("_size"), F.col("origins").alias("_found"))
+    found = rows.join(known, (F.col("hash") == F.col("_hash")) & F.col("size").eqNullSafe(F.col("_size")), "left")
+    n = F.coalesce(F.size("_found"), F.lit(0))
+    origin = F.when(n == 1, F.element_at("_found", 1)).when(n > 1, F.col("path")).otherwise(F.col("origin"))
     match = F.when(n == 1, "matched").when(n > 1, "ambiguous").otherwise("unmatched")
-    return found.withColumn("origin", origin).withColumn("origin_match", match)
+    return found.withColumns({"origin": origin, "origins": F.coalesce("_found", "_before"), "origin_match": match}).drop("_before", "_hash", "_size", "_found")
 
 
 def reconcile_summary(reconciled: DataFrame) -> DataFrame:

@@ -100,10 +100,10 @@ def test_totals(spark):
     schema = "path string, size long, pages long, pages_estimated boolean, figures long, tables long"
     names = {"pages": "Стр.", "figures": "Рис.", "tables": "Табл."}
     both = spark.createDataFrame([("a.docx", 10, 2, True, 3, 1), ("b.pdf", 20, 4, None, None, None)], schema)
-    line = W.totals_text(W.totals(both, list(names)).first().asDict(), names)
+    line = W.totals_line(W.totals(both, list(names)), names).first().line
     assert "Рис.: >3" in line and "Стр.: ≈6" in line and "Байт: 30" in line
-    assert "Рис.: 3" in W.totals_text(W.totals(both.filter("size = 10"), list(names)).first().asDict(), names, True)
-    assert "Стр.: —" in W.totals_text(W.totals(both.limit(0), list(names)).first().asDict(), names)
+    assert "Рис.: 3" in W.totals_line(W.totals(both.filter("size = 10"), list(names)), names, True).first().line
+    assert "Стр.: —" in W.totals_line(W.totals(both.limit(0), list(names)), names).first().line
 
 
 def test_order_labels_and_selection(spark):
@@ -187,3 +187,32 @@ def test_torn_journal(spark):
     moves = spark.createDataFrame([("1", False), ("2", False), ("3", False)], "id string, done boolean")
     journal = spark.createDataFrame([('{"id": "1"}',), ('{"id": "3"}',), ('{"id": "2',)], "value string")
     assert {r.id for r in M.replay(moves, journal).filter("done").collect()} == {"1", "3"}
+
+
+def test_manifest_of_other_shape(spark, tmp_path):
+    h = "a" * 64
+    (tmp_path / "m.csv").write_text(M.BOM + "origin_candidates;more;sha256;size;original_path;current_path;kind;schema\n" + f'"[""x/a.txt"",""y/a.txt""]";;{h};;orig.txt;../anywhere;file;corpus-structure-v1\n;;;;folder;;directory;corpus-structure-v1\n;;{"b" * 64};7;only.txt;;file;corpus-structure-v1\n', "utf-8")
+    rows = {r.original_path: r for r in M.read_manifest(spark, str(tmp_path / "m.csv")).collect()}
+    assert rows["orig.txt"].origins == ["x/a.txt", "y/a.txt"] and rows["orig.txt"].size is None and rows["folder"].kind == "directory" and rows["only.txt"].origins == ["only.txt"]
+    (tmp_path / "n.csv").write_text("schema;kind\ncorpus-structure-v1;file\n")
+    with pytest.raises(ValueError, match="no column"):
+        M.read_manifest(spark, str(tmp_path / "n.csv"))
+    for bad in (f'"[1]";{"a" * 64};1', f'[];{"A" * 64};1'):
+        (tmp_path / "b.csv").write_text("origin_candidates;sha256;size;original_path;current_path;kind;schema\n" + bad + ";a.txt;a.txt;file;corpus-structure-v1\n")
+        with pytest.raises(Exception, match="manifest"):
+            M.read_manifest(spark, str(tmp_path / "b.csv")).collect()
+        (tmp_path / "b.csv").unlink()
+
+
+def test_rows_that_no_manifest_knows_keep_their_origins(spark):
+    manifest = spark.createDataFrame([("file", "o.txt", None, "h", ["p.txt"])], "kind string, original_path string, size long, sha256 string, origins array<string>")
+    rows = spark.createDataFrame([("a.txt", "first.txt", 3, "x", ["first.txt", "other.txt"]), ("b.txt", "b.txt", None, "h", ["b.txt"])], "path string, origin string, size long, hash string, origins array<string>")
+    got = {r.path: r for r in M.reconcile(rows, manifest).collect()}
+    assert got["a.txt"].origins == ["first.txt", "other.txt"] and got["a.txt"].origin == "first.txt" and got["a.txt"].origin_match == "unmatched"
+    assert got["b.txt"].origins == ["p.txt"] and got["b.txt"].origin == "p.txt"
+
+
+def test_only_verified_copies_go(spark):
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+    plan = spark.createDataFrame([("b", True), ("c", False)], "remove string, ok boolean")
+    assert sorted(r.path for r in C.without(rows, plan).collect()) == ["a", "c"]

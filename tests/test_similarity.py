@@ -240,11 +240,27 @@ def test_image_features():
     page = np.full((600, 800, 3), 255, np.uint8)
     page[100:120, 100:700] = 0
     one, two = images.perceptual_hash(page), images.perceptual_hash(np.clip(page.astype(int) - 5, 0, 255).astype(np.uint8))
-    assert len(one["hash"]) == 128 and one["aspect"] == pytest.approx(4 / 3) and bin(int(one["hash"], 16) ^ int(two["hash"], 16)).count("1") < 16
+    assert len(one["hash"]) == 128 and one["aspect"] == 1.333 and bin(int(one["hash"], 16) ^ int(two["hash"], 16)).count("1") < 16
     layout = images.layout(page, [[(100, 100), (700, 100), (700, 120), (100, 120)], [(100, 300), (300, 320)]])
     assert layout.shape == (128,) and np.linalg.norm(layout) == pytest.approx(1, abs=1e-5)
 
 
+def test_gradient_bits_are_set_where_brightness_falls():
+    falls = np.repeat(np.linspace(255, 0, 170)[None, :], 160, axis=0)
+    bits = lambda g: bin(int(images.perceptual_hash(np.repeat(g[:, :, None], 3, axis=2).astype(np.uint8))["hash"][64:], 16)).count("1")
+    assert bits(falls) == 256 and bits(falls[:, ::-1]) == 0
+
+
+def test_layout_counts_boxes_by_cell():
+    page = np.full((80, 80, 3), 255, np.uint8)
+    got = images.layout(page, [[(0, 0), (25, 15)], [(20, 5)], [], [(200, 200), (90, 90)]])[:64].reshape(8, 8)
+    want = np.zeros((8, 8))
+    want[0:2, 0:3] += 1
+    want[0, 2] += 1
+    want[7, 7] += 1
+    assert got / got[0, 0] == pytest.approx(np.log1p(want) / np.log(2), abs=1e-6) and np.isfinite(images.layout(page, [])).all()
+
+
 def test_encoding_and_refresh(spark):
     from siltstone.functions import vectors as V
 
