@@ -225,6 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = picked.join(marks, "_id", "left")
     # at most max_positive + max_unlabelled ids, and one text of each: an id that many rows share counts once
     chosen = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_set", "_y").agg(F.min("_text").alias("_text"))
+    chosen = chosen.orderBy("_set", by_hash, "_id")  # of copies the first teaches: the same one in every run
 
     def run(batches):
         for batch in batches:
