@@ -14,7 +14,6 @@ SKETCH = r"""w AS (
   FROM w
 ), cls AS (SELECT class, min(id) AS id, any_value(words) AS words, any_value(sample) AS sample FROM sk WHERE words >= 10 GROUP BY class)"""
 DOC_SKETCH = SKETCH.format(id="doc_id", tokens=TOKENS.format("text"), table="documents")
-ITEM_SKETCH = SKETCH.format(id="item_id", tokens=TOKENS.format("text"), table="benchmark").replace("w AS (", "w2 AS (", 1).replace("sk AS (", "sk2 AS (").replace("FROM w\n", "FROM w2\n").replace("cls AS (", "cls2 AS (").replace("FROM sk WHERE", "FROM sk2 WHERE")
 CANDIDATES = r""", e AS (SELECT id, class, words, unnest(sample) AS h FROM cls),
 cand AS (
   SELECT x.id AS a, y.id AS b, count(*) AS shared FROM e x JOIN e y ON x.h = y.h AND x.id < y.id
@@ -40,18 +39,31 @@ PARTS = r"""files AS (
     ELSE 'parts/' || p_type || '/' || p_name || ' ' || p_partkey || '.txt' END AS path FROM part)"""
 PAGES = r"""pg AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') || '.html' AS path FROM pages)"""
 LABEL_TERMS = r"""piece AS (
-  SELECT page_id, regexp_replace(regexp_replace(path, '^.*/', ''), '(.)\.[^.]+$', '\1') AS piece FROM pg
-  UNION ALL SELECT page_id, unnest(string_split(regexp_replace(path, '(^|/)[^/]*$', ''), '/')) FROM pg
+  SELECT page_id, true AS in_name, regexp_replace(regexp_replace(path, '^.*/', ''), '(.)\.[^.]+$', '\1') AS piece FROM pg
+  UNION ALL SELECT page_id, false, unnest(string_split(regexp_replace(path, '(^|/)[^/]*$', ''), '/')) FROM pg
 ), tok AS (
-  SELECT page_id, list_transform(regexp_extract_all(replace(lower(piece), 'ё', 'е'), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*'), lambda t: replace(t, '-', '_')) AS t FROM piece
+  SELECT page_id, in_name, list_transform(regexp_extract_all(replace(lower(piece), 'ё', 'е'), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*'), lambda t: replace(t, '-', '_')) AS t FROM piece
 ), useful AS (
-  SELECT page_id, list_transform(t, lambda x: CASE WHEN x NOT IN ('без', 'для', 'документ', 'документы', 'копия', 'новый', 'новая', 'новое', 'от', 'по', 'проект',
+  SELECT page_id, in_name, list_transform(t, lambda x: CASE WHEN x NOT IN ('без', 'для', 'документ', 'документы', 'копия', 'новый', 'новая', 'новое', 'от', 'по', 'проект',
     'редакция', 'скан', 'файл', 'файлы', 'and', 'copy', 'document', 'documents', 'file', 'final', 'new', 'the', 'version') AND length(x) >= 2
     AND NOT regexp_full_match(x, '(?:v|ver|версия)?[0-9]+[a-zа-я]?') AND regexp_matches(x, '\p{L}') THEN x END) AS u FROM tok
 ), term AS (
-  SELECT page_id, unnest(u) AS term FROM useful
-  UNION ALL SELECT page_id, unnest(list_transform(range(1, len(u)), lambda i: u[i] || '_' || u[i + 1])) FROM useful
+  SELECT page_id, in_name, unnest(u) AS term FROM useful
+  UNION ALL SELECT page_id, in_name, unnest(list_transform(range(1, len(u)), lambda i: u[i] || '_' || u[i + 1])) FROM useful
 )"""
+LABELS = (
+    LABEL_TERMS
+    + r""", found AS (SELECT page_id, term, bool_or(in_name) AS in_name, bool_or(NOT in_name) AS in_folder FROM term WHERE term IS NOT NULL GROUP BY 1, 2),
+usable AS (SELECT term, count(*) AS df FROM found GROUP BY term HAVING count(*) >= 5 AND count(*) < greatest(5, CAST(floor((SELECT count(*) FROM pg) * CAST(0.8 AS DOUBLE)) AS BIGINT) + 1)),
+held AS (SELECT page_id, term, df, in_name, in_folder FROM found JOIN usable USING (term)),
+edge AS (SELECT x.term AS a, y.term AS b FROM held x JOIN held y ON x.page_id = y.page_id AND x.term < y.term GROUP BY x.term, y.term, x.df, y.df
+  HAVING count(*) / least(x.df, y.df) >= 0.85 AND greatest(x.df, y.df) / least(x.df, y.df) <= 1.25),
+both_ways AS (SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge),
+reach(term, root) AS (SELECT term, term FROM usable UNION SELECT both_ways.b, reach.root FROM reach JOIN both_ways ON reach.term = both_ways.a),
+rooted AS (SELECT term, min(root) AS root FROM reach GROUP BY term),
+best AS (SELECT root, first(term ORDER BY contains(term, '_') DESC, length(term), term) AS label FROM rooted GROUP BY root),
+named AS (SELECT term, label FROM rooted JOIN best USING (root))"""
+)
 
 ORACLES: dict[str, str] = {
     "catalog_scan": f"WITH {CAT} SELECT doc_id, path, 'doc_' || doc_id || '.txt' AS name, src || '/' || lng AS folder, '.txt' AS type, size, hash FROM cat",
@@ -105,17 +117,19 @@ ORACLES: dict[str, str] = {
     "name_tfidf": f"WITH {PART_NAMES} SELECT name, kind, feature, round(weight, 4) AS weight FROM weighted",
     "name_pairs": f"""WITH {PART_NAMES} SELECT x.name AS a, y.name AS b, round(sum(x.weight * y.weight * CASE WHEN x.kind = 'w' THEN 0.65 ELSE 0.35 END), 4) AS score
         FROM weighted x JOIN weighted y ON x.kind = y.kind AND x.feature = y.feature AND x.name < y.name
-        GROUP BY 1, 2 HAVING sum(x.weight * y.weight * CASE WHEN x.kind = 'w' THEN 0.65 ELSE 0.35 END) >= 0.9 - 1e-7""",
+        GROUP BY 1, 2 HAVING sum(x.weight * y.weight * CASE WHEN x.kind = 'w' THEN 0.65 ELSE 0.35 END) >= 0.62 - 1e-7""",
     "text_sketch": f"WITH {DOC_SKETCH} SELECT id AS doc_id, CAST(words AS BIGINT) AS words, class AS text_sha256, sha256(array_to_string(sample, ',')) AS sample_sha256, CAST(len(sample) AS INT) AS sampled FROM sk",
     "near_dup_candidates": f"WITH {DOC_SKETCH}{CANDIDATES} SELECT a, b, shared FROM cand",
     "near_dup_pairs": f"""WITH {DOC_SKETCH}{CANDIDATES}, s AS (
           SELECT a, b, {SCORE} AS score FROM cand JOIN cls x ON x.id = a JOIN cls y ON y.id = b)
         SELECT a, b, round(score, 6) AS score FROM s WHERE score >= 0.82""",
-    "cross_corpus_pairs": f"""WITH {DOC_SKETCH}, {ITEM_SKETCH}, e1 AS (SELECT id, class, words, unnest(sample) AS h FROM cls), e2 AS (SELECT id, class, words, unnest(sample) AS h FROM cls2),
-        pr AS (SELECT DISTINCT e1.id AS a, e2.id AS b FROM e1 JOIN e2 USING (h) WHERE e1.class <> e2.class AND e1.words >= e2.words * 0.8 AND e2.words >= e1.words * 0.8),
-        s AS (SELECT a, b, {SCORE} AS score FROM pr JOIN cls x ON x.id = a JOIN cls2 y ON y.id = b
-          UNION ALL SELECT x.id, y.id, 1.0 FROM cls x JOIN cls2 y USING (class))
-        SELECT a AS doc_id, b AS item_id, round(score, 6) AS score FROM s WHERE score >= 0.05""",
+    "cross_corpus_pairs": f"""WITH {DOC_SKETCH}, own AS (SELECT doc_id AS id, source < 'src2' AS mine FROM documents), able AS (SELECT * FROM sk JOIN own USING (id) WHERE words >= 10 AND mine IS NOT NULL),
+        one AS (SELECT mine, class, min(id) AS id, any_value(words) AS words, any_value(sample) AS sample FROM able GROUP BY mine, class),
+        e AS (SELECT mine, id, class, words, unnest(sample) AS h FROM one),
+        pr AS (SELECT DISTINCT e1.id AS a, e2.id AS b FROM e e1 JOIN e e2 USING (h) WHERE e1.mine AND NOT e2.mine AND e1.class <> e2.class AND e1.words >= e2.words * 0.8 AND e2.words >= e1.words * 0.8),
+        s AS (SELECT a, b, {SCORE} AS score FROM pr JOIN one x ON x.id = a JOIN one y ON y.id = b
+          UNION ALL SELECT x.id, y.id, 1.0 FROM one x JOIN one y USING (class) WHERE x.mine AND NOT y.mine)
+        SELECT a, b, round(score, 6) AS score FROM s WHERE score >= 0.82""",
     "vector_pairs": """SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 4) AS score
         FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) >= 0.3""",
     "pair_score_blend": """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -132,7 +146,11 @@ ORACLES: dict[str, str] = {
         wd AS (SELECT greatest(2, max(length(CAST(n AS VARCHAR)))) AS w FROM al),
         pl AS (SELECT path, CASE WHEN path LIKE 'parts/item #%' THEN 'parts' ELSE regexp_replace(path, '/[^/]*$', '') END || '/item #' || lpad(CAST(n AS VARCHAR), CAST(w AS INT), '0') || '.txt' AS destination FROM al, wd)
         SELECT path, destination FROM pl WHERE path <> destination""",
-    "trim_prefix_plan": """SELECT DISTINCT 'p/' || left(p_brand, 1) || p_name || ' ' || p_size || '.txt' AS path, 'p/' || p_name || ' ' || p_size || '.txt' AS destination, CAST(NULL AS VARCHAR) AS error FROM part""",
+    "trim_prefix_plan": """WITH files AS (SELECT p_partkey AS number, 'p/' || CASE WHEN p_partkey % 9 = 0 THEN '' ELSE right(p_brand, 1) END || p_name || ' ' || p_size % 10 || '.txt' AS path FROM part),
+        sel AS (SELECT path, min(number) AS number, 'p/' || substr(path, 4) AS d FROM files GROUP BY path),
+        t AS (SELECT *, lower(d) IN (SELECT lower(path) FROM files) AS taken FROM sel),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lower(d) ORDER BY number) AS r FROM t)
+        SELECT path, CASE WHEN NOT taken AND r = 1 THEN d END AS destination, CASE WHEN taken OR r > 1 THEN 'name exists' END AS error FROM o""",
     "incremental_refresh": f"""WITH {CAT} SELECT CASE WHEN src = 'src2' THEN 'moved/' ELSE '' END || path AS path,
           CASE WHEN src = 'src2' AND size < 200 THEN 'moved/' || path ELSE 'first/' || path END AS origin, CASE WHEN size < 200 THEN '' ELSE hash END AS hash,
           CASE WHEN size < 200 THEN size + 1 ELSE size END AS size FROM cat""",

@@ -239,7 +239,7 @@ def name_tfidf(spark, sf_dir):
 
 @query
 def name_pairs(spark, sf_dir):
-    return N.scored_pairs(N.features(part_names(spark, sf_dir)), 0.9).select("a", "b", F.round("score", 4).alias("score"))
+    return N.scored_pairs(N.features(part_names(spark, sf_dir))).select("a", "b", F.round("score", 4).alias("score"))
 
 
 @query
@@ -269,8 +269,10 @@ def near_dup_groups(spark, sf_dir):
 
 @query
 def cross_corpus_pairs(spark, sf_dir):
-    bench = K.text_sketch(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
-    return K.text_matches(K.text_classes(sketches(spark, sf_dir)), K.text_classes(bench), 0.05).select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), F.round("score", 6).alias("score"))
+    """Documents of some sources against those of all others, as two corpora."""
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    mine, other = (K.text_classes(K.text_sketch(rows.filter(c))) for c in ("source < 'src2'", "source >= 'src2'"))
+    return K.text_matches(mine, other).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query
@@ -344,12 +346,6 @@ def weak_label_terms(spark, sf_dir):
     return found.groupBy("term").agg(F.count_distinct("id").alias("df"))
 
 
-@query
-def weak_labels(spark, sf_dir):
-    labels, _ = L.weak_labels(page_catalog(spark, sf_dir), "page_id")
-    return labels.select(F.col("id").alias("page_id"), F.array_join("labels", "|").alias("labels"))
-
-
 @query
 def open_set_classes(spark, sf_dir):
     """Labels of the vectors' own classes for the even ids, extended to the others."""
@@ -358,11 +354,6 @@ def open_set_classes(spark, sf_dir):
     return L.open_set_classes(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), labels)
 
 
-@query
-def size_bands(spark, sf_dir):
-    return G.bands(catalog(spark, sf_dir))
-
-
 @query
 def residual_names(spark, sf_dir):
     rows = part_files(spark, sf_dir).select("path", F.col("p_size").cast("long").alias("size"))
@@ -377,8 +368,9 @@ def rename_series_plan(spark, sf_dir):
 
 @query
 def trim_prefix_plan(spark, sf_dir):
-    """Names without their first character: many meet, the first in order gets the name."""
-    path = F.concat(F.lit("p/"), F.left(F.col("p_brand"), F.lit(1)), F.col("p_name"), F.lit(" "), F.col("p_size").cast("string"), F.lit(".txt"))
+    """Names without their first character, a digit in most: many meet, and the first in order gets the name."""
+    first = F.when(F.col("p_partkey") % 9 == 0, F.lit("")).otherwise(F.right("p_brand", F.lit(1)))
+    path = F.concat(F.lit("p/"), first, "p_name", F.lit(" "), (F.col("p_size") % 10).cast("string"), F.lit(".txt"))
     files = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("number"), path.alias("path"))
     return P.trim_prefix_plan(files.groupBy("path").agg(F.min("number").alias("number")), 1, files)
 

@@ -32,6 +32,6 @@ def test_entry_and_registration(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["near_dup_groups", "vector_groups", "group_id_remap", "weak_labels", "size_bands", "flatten_plan", "shortening_plan", "metadata_lexical"])
+@pytest.mark.parametrize("name", ["near_dup_groups", "vector_groups", "group_id_remap", "flatten_plan", "shortening_plan", "metadata_lexical"])
 def test_queries_without_sql_run(spark, name):
     assert entry.queries()[name](spark, SF).count() >= 0
