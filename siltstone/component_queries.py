@@ -21,6 +21,7 @@ from siltstone.plans import naming as P
 from siltstone.sources import formats as S
 from siltstone.sources import manifest as M
 from siltstone.sources.scratch import shared_dir
+from siltstone.sources.state import load_state, save_state
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -74,11 +75,14 @@ def group_overlaps(spark, sf_dir):
     return G.overlaps(rows.select(F.col("doc_id").alias("id"), F.col("parts")[0].alias("cluster")), rows.select(F.col("doc_id").alias("id"), F.col("parts")[1].alias("cluster")))
 
 
-@query(f"""WITH {CAT} SELECT doc_id, size * 100000 > 134217728 AS size_only, doc_id % 10 = 0 AS transient FROM cat""")
+@query(f"""WITH {CAT} SELECT doc_id, size * 100000 > 134217728 AS size_only, doc_id % 10 = 0 AS transient, doc_id % 10 <> 0 AND doc_id % 4 = 1 AS parallel,
+      doc_id % 10 <> 0 AND doc_id % 4 = 2 AS office, doc_id % 10 <> 0 AND doc_id % 4 IN (1, 2) AS cacheable FROM cat""")
 def format_predicates(spark, sf_dir):
-    """Files 100 000 times as large, each tenth with the name of a lock file."""
-    name = F.concat(F.when(F.col("doc_id") % 10 == 0, "~$").otherwise(""), X.file_name(F.col("path")))
-    return catalog(spark, sf_dir).select("doc_id", W.size_only(F.col("size") * 100000).alias("size_only"), W.is_transient(name).alias("transient"))
+    """Files 100 000 times as large, of three kinds, each tenth with the name of a lock file."""
+    end = F.when(F.col("doc_id") % 4 == 1, ".PDF").when(F.col("doc_id") % 4 == 2, ".docx").otherwise(".txt")
+    name = F.concat(F.when(F.col("doc_id") % 10 == 0, "~$").otherwise(""), X.stem(F.col("path")), end)
+    kinds = [f(name).alias(n) for n, f in (("transient", W.is_transient), ("parallel", W.is_parallel), ("office", W.is_office), ("cacheable", W.is_cacheable))]
+    return catalog(spark, sf_dir).select("doc_id", W.size_only(F.col("size") * 100000).alias("size_only"), *kinds)
 
 
 @query(f"WITH {CAT} SELECT count(*) AS files, count(*) FILTER (hash = '') AS errors FROM cat")
@@ -181,11 +185,11 @@ def add_prefix_plan(spark, sf_dir):
     return P.add_prefix_plan(mine, "new ", files)
 
 
-@query(f"""WITH {PAGES} SELECT page_id, 'read <path> of ?' || path AS message FROM pg""")
+@query("""SELECT page_id, 'read "<path>" of ?' || url AS message FROM pages""")
 def error_messages(spark, sf_dir):
     """Messages with a Windows path and a control character."""
-    said = F.concat(F.lit("read C:\\archive\\p"), F.col("page_id").cast("string"), F.lit(".html of \x07"), F.col("path"))
-    return page_catalog(spark, sf_dir).select("page_id", X.sanitize(said).alias("message"))
+    said = F.concat(F.lit('read "C:\\archive\\p '), F.col("page_id").cast("string"), F.lit('.html" of \x07'), F.col("url"))
+    return read(spark, sf_dir, "pages").select("page_id", X.sanitize(said).alias("message"))
 
 
 @query(f"WITH {PAGES} SELECT page_id, page_id % 7 IN (0, 4) AS safe FROM pg")
@@ -314,3 +318,66 @@ def weak_label_support(spark, sf_dir):
 def weak_labels(spark, sf_dir):
     labels, _ = L.weak_labels(page_catalog(spark, sf_dir), "page_id")
     return labels.select(F.col("id").alias("page_id"), F.array_join("labels", "|").alias("labels"))
+
+
+@query(f"WITH {CAT} SELECT doc_id, path FROM cat WHERE doc_id % 5 <> 1 AND doc_id % 7 <> 2")
+def listing_without_links(spark, sf_dir):
+    """A listing in which each fifth file is a symbolic link, and each seventh a surrogate for another."""
+    rows = catalog(spark, sf_dir)
+    mode = F.when(F.col("doc_id") % 5 == 1, 0o120777).when(F.col("doc_id") % 5 == 2, F.lit(None)).otherwise(0o100644)
+    tag = F.when(F.col("doc_id") % 7 == 2, F.lit(0xA0000003)).when(F.col("doc_id") % 7 == 3, F.lit(0x80000013))
+    return C.without_links(rows.withColumns({"mode": mode, "reparse_tag": tag})).select("doc_id", "path")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 4 END + 2 AS person, doc_id % 4 AS date, CAST(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS org FROM documents""")
+def entity_totals(spark, sf_dir):
+    """Counts of entities from names and from contents; each third content has none."""
+    own = F.create_map(F.lit("person"), F.lit(2), F.lit("date"), (F.col("doc_id") % 4).cast("int"))
+    found = F.when(F.col("doc_id") % 3 != 0, F.create_map(F.lit("person"), (F.col("doc_id") % 4).cast("int"), F.lit("org"), F.lit(1)))
+    total = read(spark, sf_dir, "documents").select("doc_id", G.entity_totals(own, found).alias("t"))
+    return total.select("doc_id", *[F.coalesce(F.try_element_at("t", F.lit(k)), F.lit(0)).alias(k) for k in ("person", "date", "org")])
+
+
+@query(f"""WITH {CAT} SELECT doc_id, doc_id % 3 = 0 AS countable FROM cat WHERE doc_id % 4 <> 0""")
+def pending_statistics(spark, sf_dir):
+    """Rows to analyse again: statistics missing, of an old schema or failed; some can't be counted at all."""
+    left = F.col("doc_id") % 4
+    stats = F.when(left != 1, F.struct(F.when(left == 2, 1).otherwise(2).alias("schema"), (left == 3).alias("failed")))
+    path = F.concat(X.folder(F.col("path")), F.lit("/"), F.when(F.col("doc_id") % 3 == 1, "~$").otherwise(""), X.stem(F.col("path")), F.when(F.col("doc_id") % 3 == 2, ".txt").otherwise(".docx"))
+    rows = catalog(spark, sf_dir).withColumn("stats", stats)
+    return S.to_analyze(rows).select("doc_id", S.can_count(path).alias("countable"))
+
+
+@query(f"""WITH {CAT}, c AS (SELECT doc_id % 3 <> 2 AS able, doc_id % 7 <> 0 AND size >= 200 AND doc_id % 13 <> 0 AS good FROM cat)
+    SELECT count(*) FILTER (able AND good) AS updated, count(*) FILTER (able AND NOT good) AS errors, count(*) FILTER (NOT able) AS skipped FROM c""")
+def refinement_summary(spark, sf_dir):
+    """A refinement in which each third file is no word document, each seventh count failed, each thirteenth
+    is missing, and short texts were edited."""
+    path = F.concat(F.regexp_replace("path", "[.]txt$", ""), F.when(F.col("doc_id") % 3 == 2, ".txt").otherwise(".docx"))
+    rows = catalog(spark, sf_dir).withColumn("path", path).withColumn("identity", _identity(F.col("doc_id") + 1, F.col("size")))
+    now = _identity(F.col("doc_id") + 1, F.when(F.col("size") < 200, F.col("size") + 1).otherwise(F.col("size")))
+    counts = rows.filter(F.col("doc_id") % 13 != 0).select("path", now.alias("identity"), F.when(F.col("doc_id") % 7 == 0, True).alias("failed"))
+    return S.refinement_summary(rows, counts)
+
+
+@query("""SELECT CASE WHEN doc_id % 4 = 2 THEN '.docx' ELSE '.txt' END AS suffix, count(*) AS n FROM documents WHERE doc_id % 5 <> 0 GROUP BY 1""")
+def uncached_suffixes(spark, sf_dir):
+    """What a cache that knows each fifth document lacks, by suffix."""
+    path = F.concat(X.folder(F.col("path")), F.lit("/"), X.stem(F.col("path")), F.when(F.col("doc_id") % 4 == 2, ".docx").otherwise(".txt"))
+    return S.uncached_by_suffix(catalog(spark, sf_dir).select(path.alias("path"), F.when(F.col("doc_id") % 5 == 0, "known").alias("value")))
+
+
+@query(f"WITH {CAT} SELECT doc_id, path FROM cat WHERE size < 200 ORDER BY doc_id LIMIT 10")
+def first_errors(spark, sf_dir):
+    """The first ten rows with an error, as a report shows them; short texts stand for those."""
+    return W.first_rows(catalog(spark, sf_dir).filter("size < 200"), [F.col("doc_id")], 10).select("doc_id", "path")
+
+
+@query(f"WITH {CAT} SELECT doc_id, path, hash, size + 1 AS size FROM cat")
+def state_versions(spark, sf_dir):
+    """The catalog saved twice, the second time with other sizes, and loaded."""
+    path = f"{shared_dir(spark)}/siltstone/{uuid.uuid4().hex}/state"
+    rows = catalog(spark, sf_dir).select("doc_id", "path", "hash", "size")
+    save_state(rows, path)
+    save_state(load_state(spark, path).withColumn("size", F.col("size") + 1), path)
+    return load_state(spark, path)

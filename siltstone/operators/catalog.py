@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from siltstone.functions import text as X
 
+# A mode's file type bits, those of a symbolic link, and the bit of a reparse tag that marks a surrogate.
+FORMAT_BITS, LINK_FORMAT, SURROGATE = 0o170000, 0o120000, 0x20000000
+
 IDENTITY = "struct<dev:bigint,ino:bigint,size:bigint,mtime_ns:bigint>"
 
 
@@ -33,6 +36,14 @@ def scan_files(spark: SparkSession, root: str, hash_files: bool = True, pattern:
     return found.filter(X.is_safe(F.col("path"))).withColumn("origin", F.col("path"))
 
 
+def without_links(listing: DataFrame) -> DataFrame:
+    """A listing without links: rows whose ``mode`` says symbolic link, or whose ``reparse_tag`` marks one name
+    standing for another. A missing mode or tag is that of a plain file."""
+    mode, tag = F.coalesce("mode", F.lit(0)).cast("long"), F.coalesce("reparse_tag", F.lit(0)).cast("long")
+    link = (mode.bitwiseAND(F.lit(FORMAT_BITS)) == LINK_FORMAT) | (tag.bitwiseAND(F.lit(SURROGATE)) != 0)
+    return listing.filter(~link)
+
+
 def walk_key(path: Column) -> Column:
     """Sorts as a walk does: a folder's files before its subfolders, both by name."""
     parts = F.split(path, "/")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -15,6 +16,9 @@ TEXT_COLUMNS = ("name", "folder", "origin", "type")
 NUMBER_COLUMNS = ("number", "size", "duplicate", "pages", "figures", "tables")
 WORD_SUFFIXES = (".doc", ".docx", ".rtf")
 LARGE = 128 * 1024 * 1024
+# Suffixes of images and of office documents.
+IMAGE_SUFFIXES = (".bmp", ".gif", ".jpeg", ".jpg", ".png", ".tif", ".tiff", ".webp")
+OFFICE_SUFFIXES = (".doc", ".docx", ".ppt", ".pptx", ".rtf", ".xls", ".xlsx")
 
 
 def with_columns(catalog: DataFrame) -> DataFrame:
@@ -46,19 +50,24 @@ class NumberRule:
 
 @dataclass(frozen=True)
 class TextRule:
-    """All words of ``include`` (or ``any``), as substrings or ``whole`` words, and none of ``exclude``."""
+    """All words of ``include`` (or ``any``), as substrings or ``whole`` words, and none of ``exclude``.
+
+    ``compatible`` levels compatibility forms and folds case in full, on both sides, in a pandas UDF; without
+    it the text is lowered by built-in functions."""
 
     include: str = ""
     exclude: str = ""
     whole: bool = False
     any: bool = False
+    compatible: bool = False
 
     def column(self, value: Column) -> Column:
-        text = X.normalize(F.coalesce(value, F.lit("")))
+        level = X.normalize_udf if self.compatible else X.normalize
+        text = level(F.coalesce(value, F.lit("")))
         words = X.tokens(text)
         has = (lambda w: F.array_contains(words, w)) if self.whole else (lambda w: F.contains(text, F.lit(w)))
-        level = lambda s: s.lower().replace("ё", "е").split()
-        wanted, banned = [has(w) for w in level(self.include)], [has(w) for w in level(self.exclude)]
+        folded = lambda s: (unicodedata.normalize("NFKC", s).casefold() if self.compatible else s.lower()).replace("ё", "е").split()
+        wanted, banned = [has(w) for w in folded(self.include)], [has(w) for w in folded(self.exclude)]
         good = reduce(Column.__or__ if self.any else Column.__and__, wanted) if wanted else F.lit(True)
         return reduce(lambda a, b: a & ~b, banned, good)
 
@@ -156,6 +165,25 @@ def is_transient(name: Column) -> Column:
     return name.startswith("~$")
 
 
+def is_office(name: Column) -> Column:
+    """A preview of it takes an office program, one at a time."""
+    return ~is_transient(name) & X.suffix(name).isin(*OFFICE_SUFFIXES)
+
+
+def is_parallel(name: Column) -> Column:
+    """Previews of such files can be made side by side."""
+    return ~is_transient(name) & X.suffix(name).isin(*IMAGE_SUFFIXES, ".pdf")
+
+
+def is_cacheable(name: Column) -> Column:
+    return is_parallel(name) | is_office(name)
+
+
+def first_rows(view: DataFrame, orders: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in an order that tells all apart: the examples or errors that a report shows."""
+    return view.orderBy(*orders).limit(n)
+
+
 def status(catalog: DataFrame) -> DataFrame:
     return catalog.agg(F.count("*").alias("files"), F.count_if(F.coalesce("error", F.lit("")) != "").alias("errors"))
 

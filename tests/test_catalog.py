@@ -79,6 +79,7 @@ def test_refresh(spark):
     ("001_Отчёт по испытаниям насоса.docx", W.TextRule("отчет насоса", whole=True), True), ("001_Отчёт по испытаниям насоса.docx", W.TextRule("отчет", "испытания"), False),
     ("001_Отчёт по испытаниям насоса.docx", W.TextRule("акт отчет", any=True), True), ("001_Отчёт по испытаниям насоса.docx", W.TextRule("акт отчет"), False),
     (None, W.TextRule("", "x"), True),
+    ("ﬁle №５ STRASSE", W.TextRule("file 5 straße", compatible=True), True), ("ﬁle", W.TextRule("file"), False), (None, W.TextRule("x", compatible=True), False),
 ])
 def test_text_rules(spark, value, rule, want):
     df = spark.createDataFrame([(value,)], "name string")

@@ -73,7 +73,8 @@ def test_cells_previews_and_labels(spark):
     assert values(spark, lambda c: X.decode_cell(X.encode_cell(c)), *cells) == list(cells)
     assert values(spark, lambda c: X.limited_text(c, 2, 10), "a\r\nb", "a\nb\nc", "x" * 20) == ["a\nb", "a\nb\n…", "x" * 10 + "\n…"]
     assert len(values(spark, X.progress_label, "y" * 200)[0]) == 85
-    assert values(spark, X.sanitize, "failed C:\\Users\\x\\file.txt now\x07") == ["failed <path> now?"]
+    assert values(spark, X.sanitize, "failed 'C:\\Users\\x y\\file.txt' now\x07") == ["failed '<path>' now?"]
+    assert values(spark, X.sanitize, "at C:\\a b\\c.txt gone\nhttp://a/b\u00a0c\td") == ["at <path>\nhttp://a/b?c\td"]
 
 
 def test_series_numbers(spark):

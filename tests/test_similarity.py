@@ -147,6 +147,24 @@ def vec(*x):
     return [float(v) for v in (*x, *[0] * (8 - len(x)))]
 
 
+def test_copies_are_linked_as_one_unit(spark, monkeypatch):
+    """Copies beyond the bound of a component give what the rows give one by one."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 6)) + np.repeat(rng.normal(size=(3, 6)) * 2, 4, axis=0)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    rows = [(i, base[i % 12].tolist()) for i in range(60)] + [(60, [0.0] * 6), (61, [0.0] * 6), (62, None)]
+    df = spark.createDataFrame(rows, "id long, semantic array<double>")
+    held = np.array([base[i % 12] for i in range(60)])
+    label = linkage.average_link(1 - np.clip(held @ held.T, -1, 1), 0.35)
+    monkeypatch.setattr(G, "COMPONENT_ROWS", 12)
+    got = {r.id: r for r in G.average_groups(df, 0.35).collect()}
+    assert [got[i].cluster for i in range(60)] == label.tolist()
+    for i in range(60):
+        peers = [j for j in range(60) if j != i and label[j] == label[i]]
+        assert abs(got[i].confidence - np.mean([held[i] @ held[j] for j in peers])) < 1e-9
+    assert all(got[i].cluster == i and got[i].confidence is None for i in (60, 61, 62))
+
+
 def test_average_groups(spark):
     df = spark.createDataFrame([(1, vec(1)), (2, vec(0.9987, 0.05)), (3, vec(0, 0, 1)), (4, vec(0, 0.75, 0.66144))], "id long, semantic array<double>")
     got = {r.id: r for r in G.average_groups(df, 0.35).collect()}
