@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm.licenses import ANCHORS, IMPLIES, RULES, SENTENCES
+from siltstone.llm.licenses import ANCHORS, IMPLIES, RULES, SENTENCES, SPDX_COLON
 
 OP6_NEARDUP = r"""
 WITH RECURSIVE d AS (
@@ -31,7 +31,7 @@ _KNOWN = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in SENTENCES) +
 
 
 def _ids(lines: str) -> str:
-    held = rf"list_filter(string_split_regex({lines}, '[.!?;:]+(?:\s+|$)|\n+'), lambda x: regexp_matches(x, '(?i){ANCHORS}'))"
+    held = rf"list_filter(string_split_regex(regexp_replace({lines}, '{SPDX_COLON}', '\1 ', 'g'), '[.!?;:]+(?:\s+|$)|\n+'), lambda x: regexp_matches(x, '(?i){ANCHORS}'))"
     norm = rf"trim(regexp_replace(regexp_replace(lower(x), '[^a-z0-9.+-]+', ' ', 'g'), '[.+ -]+$', ''))"
     found = f"list_filter(list_transform({held}, lambda x: list_position({_KNOWN}, {norm}) - 1), lambda i: i >= 0)"
     return f"CASE WHEN len({found}) > 0 THEN '|' || array_to_string({found}, '|') || '|' ELSE '' END"

@@ -290,6 +290,18 @@ def test_licence_rules(spark, text, want):
     assert got.licenses == want
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", "LGPL-2.1"),
+    ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.", "GPL-2.0"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "AGPL-3.0"),
+    ("This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:", "Zlib"),
+    ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file)", "BSL-1.0"), ("# SPDX-License-Identifier: EPL-2.0\n", "EPL-2.0"), ("SPDX-License-Identifier: LGPL-3.0-or-later", "LGPL-3.0"),
+    ("This library is licensed under the ISC license.", "ISC"), ("It is not licensed under the ISC licence of others.", ""),
+])
+def test_licence_families(spark, text, want):
+    assert licenses.scan(spark.createDataFrame([(1, text, "s")], SCHEMA)).collect()[0].licenses == want
+
+
 def test_licence_order_and_implication(spark):
     bsd = [licenses.SENTENCES[i] for i in (18, 19, 20, 21)]
     rows = [(1, ". ".join(bsd) + ".", ""), (2, ". ".join(bsd[:3]) + ".", ""), (3, ". ".join([bsd[2], bsd[1], bsd[0]]) + ".", "")]
