@@ -217,3 +217,16 @@ def test_only_verified_copies_go(spark):
     rows = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
     plan = spark.createDataFrame([("b", True), ("c", False)], "remove string, ok boolean")
     assert sorted(r.path for r in C.without(rows, plan).collect()) == ["a", "c"]
+
+
+def test_a_version_counts_once_it_is_whole(spark, tmp_path):
+    from siltstone.sources.state import load_state, save_state, versions
+
+    path = str(tmp_path / "state")
+    assert versions(spark, path) == []
+    with pytest.raises(ValueError, match="no such version"):
+        load_state(spark, path)
+    assert [save_state(spark.range(n), path) for n in (3, 5)] == [1, 2]
+    assert load_state(spark, path).count() == 5 and load_state(spark, path, 1).count() == 3
+    (tmp_path / "state" / "v000002" / "_SUCCESS").unlink()
+    assert load_state(spark, path).count() == 3 and save_state(spark.range(7), path) == 2 and load_state(spark, path).count() == 7
