@@ -82,7 +82,7 @@ def take_copies(df: DataFrame, decisions: DataFrame) -> DataFrame:
     return few.unionByName(runs.withColumn("_c", F.explode(F.sequence("_from", F.least("_n", F.col("_from") + COPIES - 1)))).select("_row.*"))
 
 
-def slices(texts: pa.Array, most: int = 8 << 20):
+def slices(texts: pa.Array, most: int = 2 << 20):
     """(first row, rows) pieces of at most ``most`` bytes, or one row: bounds what is expanded at a time."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     start, held = 0, 0
