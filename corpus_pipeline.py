@@ -16,7 +16,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm.common import shared_dir, table
+from siltstone.llm.common import give_back, shared_dir, table
 from siltstone.llm.language import accepted, remainder
 from siltstone.llm.language import train as train_language
 from siltstone.llm.mixing import mixed
@@ -29,14 +29,19 @@ from siltstone.llm.toxicity import train as train_toxicity
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts of no learned language: no letters, or too high a cross-entropy. Without a row that has a
     language and a text, all go."""
-    return accepted(docs, train_language(docs))
+    kept = accepted(docs, train_language(docs))
+    give_back()
+    return kept
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts predicted toxic; learns from the labels of the training fold. Without a toxic one, all stay."""
     labels = table(spark, sf_dir, "labels")
     model = train_toxicity(docs.filter(remainder(docs["doc_id"], 4) != 2), labels.filter(remainder(labels["doc_id"], 4) != 2))
-    return clean(docs, model)
+    kept = clean(docs, model)
+    del model  # the executors have it
+    give_back()
+    return kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -82,6 +85,13 @@ def take_copies(df: DataFrame, decisions: DataFrame) -> DataFrame:
     return few.unionByName(runs.withColumn("_c", F.explode(F.sequence("_from", F.least("_n", F.col("_from") + COPIES - 1)))).select("_row.*"))
 
 
+def give_back() -> None:
+    """Returns to the system what Arrow and malloc keep of freed arrays: the driver's Python outlives each model by many stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(texts: pa.Array, most: int = 2 << 20):
     """(first row, rows) pieces of at most ``most`` bytes, or one row: bounds what is expanded at a time."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)

@@ -80,3 +80,21 @@ def test_rows_that_differ_only_in_a_map_stay_apart(spark):
 
     df = spark.createDataFrame([(1, "a b c", "s", {"a": 1}), (1, "a b c", "s", {"a": 2})], "doc_id long, text string, source string, m map<string,int>")
     assert sorted(r.m["a"] for r in mixed(df).collect()) == [1, 2]
+
+
+def test_the_driver_gives_back_what_models_took(spark, tmp_path, monkeypatch):
+    import psutil
+
+    from siltstone.llm.common import give_back
+
+    held = [bytearray(3000) for _ in range(60_000)]
+    kept, full = held[::50], psutil.Process().memory_info().rss  # what is kept lies between what is freed
+    del held
+    give_back()
+    assert kept and psutil.Process().memory_info().rss < full - 100e6
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "give_back", lambda: calls.append(1))
+    tables(spark, str(tmp_path))
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert len(calls) == 2

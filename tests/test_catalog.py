@@ -146,6 +146,42 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_table_that_fits_a_task_need_no_round(spark, monkeypatch):
+    from siltstone.operators import components as module
+
+    written, write = [], module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name: (written.append(name), write(df, name))[1])
+    edges = [(i, i + 1) for i in range(60)] + [(80 + 7 * i % 60, 200) for i in range(60)] + [(200, 300), (7, 7)]
+    want = {x: 0 if x <= 60 else 80 for e in edges for x in e}
+    frame = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.root for r in components(frame).collect()} == want and written == ["edges"]
+    monkeypatch.setattr(module, "HELD_EDGES", 1)  # each batch by itself, so that rounds have to follow
+    with_conf = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert {r.node: r.root for r in components(frame).collect()} == want and "small" in written
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_conf)
+    named = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "a string, b string")
+    assert {r.node: r.root for r in components(named).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+
+
+def test_stars():
+    import numpy as np
+
+    from siltstone.operators.components import stars
+
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 5, 40, 400):
+        u, v = draw.integers(-30, 300, (2, n))
+        label = {int(x): int(x) for x in (*u, *v)}
+        for _ in label:
+            for a, b in zip(u.tolist(), v.tolist(), strict=True):
+                label[a] = label[b] = min(label[a], label[b])
+        got = dict(zip(*(x.tolist() for x in stars(u, v)), strict=True))
+        assert got == {x: r for x, r in label.items() if x != r}
+
+
 # manifest
 
 
