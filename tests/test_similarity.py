@@ -95,6 +95,16 @@ def test_matches_meet_by_rare_hashes_only(spark, monkeypatch):
     assert K.text_matches(sampled(spark, lone)).count() == 0 and seen[-1] == 0 < seen[0] < 90 * 89 / 2
 
 
+def test_matches_of_two_corpora_meet_by_rare_hashes_only(spark, monkeypatch):
+    hashes = drawn_classes()
+    whole = sampled(spark, hashes)
+    seen, plain = [], K.sample_scores
+    monkeypatch.setattr(K, "sample_scores", lambda pairs: seen.append(pairs.count()) or plain(pairs))
+    left, right = list(range(0, 50)), list(range(50, 90))
+    got = {(r.a, r.b): r.score for r in K.text_matches(whole.filter("id < 50"), whole.filter("id >= 50")).collect()}
+    assert got == plain_matches(hashes, K.TEXT_LEAST, left, right) != {} and seen[-1] < 50 * 40 / 2
+
+
 CONTENT = "struct<sha256:string,text_sha256:string,words:bigint,bytes:bigint,binary_method:string,binary:array<string>,chunks:array<string>,text:array<string>,visual:array<struct<slot:string,hash:string,tone:int,aspect:double>>,visual_pages:int,failed:boolean>"
 
 
