@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,17 @@ def test_matches_of_two_corpora_meet_by_rare_hashes_only(spark, monkeypatch):
     assert got == plain_matches(hashes, K.TEXT_LEAST, left, right) != {} and seen[-1] < 50 * 40 / 2
 
 
+def test_shared_hashes_are_counted_by_blocks(spark, monkeypatch):
+    """Several blocks with frequent and rare hashes, and strips of few cells, count what all pairs give."""
+    hashes = drawn_classes()
+    monkeypatch.setattr(K, "BLOCK_LEAST", 20)
+    want = {(i, j): n for i in range(90) for j in range(i + 1, 90) if hashes[i][0] >= hashes[j][0] * 0.8 and hashes[j][0] >= hashes[i][0] * 0.8 and (n := len(hashes[i][1] & hashes[j][1]))}
+    assert {(r.a, r.b): r.shared for r in K.candidate_pairs(sampled(spark, hashes)).collect()} == want
+    rows = [{"id": i, "words": n, "mine": True, "hashes": sorted(h % 2**62 for h in held)} for i, (n, held) in enumerate(hashes)]
+    block = K.Block(pa.Table.from_pylist(rows))
+    assert {(*sorted((int(block.ids[i]), int(block.ids[j]))), int(n)) for x in K.shared_counts(block, block, True, cells=100) for i, j, n in zip(*x)} == {(*k, n) for k, n in want.items()}
+
+
 CONTENT = "struct<sha256:string,text_sha256:string,words:bigint,bytes:bigint,binary_method:string,binary:array<string>,chunks:array<string>,text:array<string>,visual:array<struct<slot:string,hash:string,tone:int,aspect:double>>,visual_pages:int,failed:boolean>"
 
 
