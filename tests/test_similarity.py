@@ -173,6 +173,36 @@ def test_pairs_against_all_pairs(spark):
         assert got == pytest.approx(want)
 
 
+def test_pairs_are_scored_in_blocks_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(N, "LIST_ROWS", 5)
+    test_pairs_against_all_pairs(spark)
+
+
+def test_arrays_of_edges_are_linked_as_tuples():
+    draw = np.random.default_rng(2)
+    for _ in range(20):
+        edges = [(i, k, round(float(draw.random()), 1)) for i in range(12) for k in range(i) if draw.random() < 0.7]
+        assert linkage.complete_link(12, tuple(map(np.array, zip(*edges, strict=True)))) == linkage.complete_link(12, edges)
+
+
+def test_names_alike_but_for_a_number_make_no_pairs(spark, monkeypatch):
+    """Names that differ in a number of their own are one unit, and cluster as they do pair by pair."""
+    kinds = ["blue bolt", "blue ring", "old plate", "item"]
+    rows = [(f"x/{kinds[i % 4]} {1000 + i}.txt", 10 + i % 3 * 40) for i in range(120)] + [("x/item.txt", 10), ("x/blue.txt", 50)]
+    files = spark.createDataFrame(rows, "path string, size long")
+    seen, plain = [], N.pairs_of_lists
+    monkeypatch.setattr(N, "pairs_of_lists", lambda rows, least: seen.append(rows.count()) or plain(rows, least))
+    got = {r.path: (r.band, r.cluster) for r in G.residual_name_groups(files).collect()}
+    assert seen == [6]
+    keyed = {r.path: r for r in G.bands(files, G.NAME_BAND).withColumn("name", N.X.name_key(F.col("path"))).collect()}
+    score = {(r.a, r.b): round(r.score, 9) for r in N.scored_pairs(N.features(spark.createDataFrame([(r.name,) for r in keyed.values()], "name string")), 0.4).collect()}
+    for band in {r.band for r in keyed.values()}:
+        names = sorted(r.name for r in keyed.values() if r.band == band)
+        label = linkage.complete_link(len(names), [(i, j, score[names[i], names[j]]) for j in range(len(names)) for i in range(j) if (names[i], names[j]) in score])
+        want = {n: names[k] for n, k in zip(names, label, strict=True)}
+        assert all(got[p][1].split("\1")[1] == want[r.name] for p, r in keyed.items() if r.band == band)
+
+
 def test_linkage_against_a_plain_version():
     draw = np.random.default_rng(7)
     for _ in range(30):
