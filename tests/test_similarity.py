@@ -265,6 +265,30 @@ def test_average_groups(spark):
     assert {r.cluster for r in G.average_groups(pair, 0.20).collect()} == {1, 2} and {r.cluster for r in G.average_groups(pair, 0.30).collect()} == {1}
 
 
+def test_vectors_are_sent_to_a_fixed_number_of_blocks(spark, monkeypatch):
+    """Four times the rows are not sent to four times the blocks, and the pairs are those of all products."""
+    monkeypatch.setattr(G, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(G, "STRIP_ROWS", 5)
+    for n in (200, 800):
+        x = np.random.default_rng(n).normal(size=(n, 6))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        found = G.near_pairs(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, semantic array<double>"), 0.8)
+        got = {(r.a, r.b): r.score for r in found.collect()}
+        score = x @ x.T
+        assert got == pytest.approx({(i, j): score[i, j] for i in range(n) for j in range(i + 1, n) if score[i, j] >= 0.8})
+    assert -(-800 // max(-(-800 // G.BLOCKS), G.BLOCK_ROWS)) == G.BLOCKS and G.arrow_blocks(pa.table({"semantic": [[1.0], None]}), ["semantic"])["semantic"].tolist() == [[1.0], [0.0]]
+
+
+def test_cuts_share_one_search(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(60, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, semantic array<double>")
+    calls, plain = [], G.near_pairs
+    monkeypatch.setattr(G, "near_pairs", lambda *a: calls.append(a[1]) or plain(*a))
+    both = [{r.id: (r.cluster, r.confidence) for r in g.collect()} for g in G.average_groups_at(df, [0.45, 0.2])]
+    assert len(calls) == 1 and both == [{r.id: (r.cluster, r.confidence) for r in G.average_groups(df, c).collect()} for c in (0.45, 0.2)]
+
+
 def test_layout_can_join_but_not_alone(spark):
     rows = [(1, vec(1), vec(1)), (2, vec(0.6, 0.8), vec(1)), (3, vec(0.6, -0.8), vec(0, 1)), (4, vec(0.6, 0, 0.8), None)]
     got = {(r.a, r.b): r.score for r in G.near_pairs(spark.createDataFrame(rows, "id long, semantic array<double>, layout array<double>"), -1.0, kinds=("semantic", "layout"), block_rows=2).collect()}
